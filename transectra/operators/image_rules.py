@@ -1,7 +1,15 @@
-"""Per-image QC rules as one projection: an array of findings per row, exploded once."""
+"""Per-image QC rules: one scan of the inventory, one findings table.
+
+Each rule judges evidence columns prepared once per image. The severities of all
+rules form one small array that is exploded; messages and details are derived
+after that, so a job that only counts severities never builds them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,143 +19,127 @@ from ..functions.text import details, filename_parts, truthy, truthy_source
 from ..profile import SurveyProfile
 
 
-def _finding(code: str, severity: Column, message: Column, payload: Column) -> Column:
-    return F.struct(
-        F.lit(code).alias("code"),
-        severity.alias("severity"),
-        message.alias("message"),
-        payload.alias("details"),
-    )
-
-
-def _say(severity: Column, **texts: str) -> Column:
-    message = F.lit(None).cast("string")
-    for level, text in texts.items():
-        message = F.when(severity == level, text).otherwise(message)
-    return message
-
-
-def rule_read_errors() -> Column:
-    e = F.col("read_errors")
-    return _finding("read_errors", F.lit("fail"), F.concat(F.lit("file could not be read: "), F.array_join(e, "; ")),
-                    details(errors=e))
+def evidence(inventory: DataFrame, p: SurveyProfile) -> DataFrame:
+    """Inventory plus the values several rules look at; table values win over file tags."""
+    c = F.col
+    return inventory.withColumns({
+        "_make": F.coalesce(truthy(c("csv_cammake"), c("exif_make")), F.lit("")),
+        "_model": F.coalesce(truthy(c("csv_cammodel"), c("exif_model")), F.lit("")),
+        "_artist": truthy(c("csv_artist"), c("exif_artist")),
+        "_rights": truthy(c("csv_copyright"), c("exif_copyright")),
+        "_taken": wall_clock(c("csv_dtoriginal_utc")),
+        "_lat": F.coalesce("csv_lat", "gps_lat"),
+        "_lon": F.coalesce("csv_lon", "gps_lon"),
+    })
 
 
-def rule_csv_join(p: SurveyProfile) -> Column:
-    sev = F.when(F.col("csv_matched"), "ok").otherwise("fail")
-    return _finding("csv_join", sev, _say(sev, ok="found in the metadata table", fail="not in the metadata table"),
-                    details(image_id=F.col("image_id")))
+@dataclass(frozen=True)
+class Rule:
+    code: str
+    severity: Callable[[SurveyProfile], Column]
+    details: Callable[[SurveyProfile], Column]
+    messages: dict[str, str]
 
 
-def rule_software_lineage(p: SurveyProfile) -> Column:
-    sev = software_severity(F.col("software"), p.software_ok_prefix, p.software_warn_prefixes)
-    return _finding("software_lineage", sev,
-                    _say(sev, ok="expected software", warn="known second tool", fail="software missing or unknown"),
-                    details(software=F.col("software")))
+def _passes(condition: Column) -> Column:
+    return F.when(condition, "ok").otherwise("fail")
 
 
-def rule_filename_pattern(p: SurveyProfile) -> Column:
-    parts = filename_parts(F.col("name"), p.filename_pattern)
-    sev = F.when(parts["date"].isNotNull(), "ok").otherwise("fail")
-    return _finding("filename_pattern", sev, _say(sev, ok="name follows the convention", fail="name off convention"),
-                    details(**parts))
-
-
-def rule_camera(p: SurveyProfile) -> Column:
-    make = F.coalesce(truthy(F.col("csv_cammake"), F.col("exif_make")), F.lit(""))
-    model = F.coalesce(truthy(F.col("csv_cammodel"), F.col("exif_model")), F.lit(""))
-    good = make.rlike(f"(?i){p.camera_make_pattern}") & model.rlike(f"(?i){p.camera_model_pattern}")
-    sev = F.when(good, "ok").otherwise("fail")
-    return _finding("camera_consistency", sev, _say(sev, ok="expected camera", fail="unexpected camera"),
-                    details(make=make, model=model, source=truthy_source(F.col("csv_cammake"), "CSV", "EXIF")))
-
-
-def rule_dimensions(p: SurveyProfile) -> Column:
-    w, h = F.col("width"), F.col("height")
-    sev = F.when(is_one_of_sizes(w, h, p.dimensions), "ok").otherwise("fail")
-    return _finding("dimensions", sev, _say(sev, ok="native frame size", fail="frame size missing or unexpected"),
-                    details(width=w, height=h))
-
+def _capture_time(p: SurveyProfile) -> Column:
+    return (
+        F.when(truthy(F.col("csv_dtoriginal_utc")).isNull(), "unverified")
+        .when(in_window(F.col("_taken"), p.date_min, p.date_max), "ok")
+        .otherwise("warn")
+    )
 
-def _equals_expected(code: str, csv: str, exif: str, expected: str) -> Column:
-    actual = truthy(F.col(csv), F.col(exif))
-    sev = F.when(actual.eqNullSafe(F.lit(expected)), "ok").otherwise("fail")
-    return _finding(code, sev, _say(sev, ok="value as expected", fail="value differs from the expected one"),
-                    details(actual=actual, expected=F.lit(expected), source=truthy_source(F.col(csv), "CSV", "EXIF")))
 
+def _attribution(p: SurveyProfile) -> Column:
+    url = F.col("xmp_attribution_url")
+    return F.when(url.isNull(), "unverified").when(url == p.attribution_url, "ok").otherwise("fail")
 
-def rule_artist(p: SurveyProfile) -> Column:
-    return _equals_expected("exif_artist", "csv_artist", "exif_artist", p.artist)
 
+def _credit(p: SurveyProfile) -> Column:
+    rights = F.col("_artist").isNotNull() & F.col("_rights").isNotNull()
+    return F.when(F.col("iptc_credit").isNotNull(), "ok").when(rights, "warn").otherwise("fail")
 
-def rule_copyright(p: SurveyProfile) -> Column:
-    return _equals_expected("exif_copyright", "csv_copyright", "exif_copyright", p.copyright)
 
+def _source(field: str) -> Column:
+    return truthy_source(F.col(field), "CSV", "EXIF")
 
-def rule_datetime(p: SurveyProfile) -> Column:
-    raw = truthy(F.col("csv_dtoriginal_utc"))
-    ts = wall_clock(raw)
-    sev = (
-        F.when(raw.isNull(), "unverified")
-        .when(ts.isNull(), "warn")
-        .when(in_window(ts, p.date_min, p.date_max), "ok")
-        .otherwise("warn")
-    )
-    return _finding("datetime_original", sev,
-                    _say(sev, ok="inside the survey window", warn="unreadable or outside the survey window",
-                         unverified="no capture time available"),
-                    details(dtoriginal_utc=raw))
 
+READ_ERRORS = Rule(
+    "read_errors", lambda p: F.lit("fail"), lambda p: details(errors=F.col("read_errors")),
+    {"fail": "the file could not be read"},
+)
 
-def rule_gps(p: SurveyProfile) -> Column:
-    lat, lon = F.coalesce("csv_lat", "gps_lat"), F.coalesce("csv_lon", "gps_lon")
-    sev = F.when(in_box(lat, lon, p), "ok").otherwise("fail")
-    source = F.when(F.col("csv_lat").isNotNull(), "CSV").otherwise("EXIF")
-    return _finding("gps_present", sev, _say(sev, ok="inside the survey box", fail="missing or outside the box"),
-                    details(lat=lat, lon=lon, source=source))
+# Order matters: it breaks ties between severities of equal rank.
+RULES = (
+    Rule("csv_join", lambda p: _passes(F.col("csv_matched")), lambda p: details(image_id=F.col("image_id")),
+         {"ok": "found in the metadata table", "fail": "not in the metadata table"}),
+    Rule("software_lineage",
+         lambda p: software_severity(F.col("software"), p.software_ok_prefix, p.software_warn_prefixes),
+         lambda p: details(software=F.col("software")),
+         {"ok": "expected software", "warn": "known second tool", "fail": "software missing or unknown"}),
+    Rule("filename_pattern", lambda p: _passes(F.col("name").rlike(f"(?i){p.filename_pattern}")),
+         lambda p: details(**filename_parts(F.col("name"), p.filename_pattern)),
+         {"ok": "name follows the convention", "fail": "name off convention"}),
+    Rule("camera_consistency",
+         lambda p: _passes(F.col("_make").rlike(f"(?i){p.camera_make_pattern}")
+                           & F.col("_model").rlike(f"(?i){p.camera_model_pattern}")),
+         lambda p: details(make=F.col("_make"), model=F.col("_model"), source=_source("csv_cammake")),
+         {"ok": "expected camera", "fail": "unexpected camera"}),
+    Rule("dimensions", lambda p: _passes(is_one_of_sizes(F.col("width"), F.col("height"), p.dimensions)),
+         lambda p: details(width=F.col("width"), height=F.col("height")),
+         {"ok": "native frame size", "fail": "frame size missing or unexpected"}),
+    Rule("exif_artist", lambda p: _passes(F.col("_artist").eqNullSafe(F.lit(p.artist))),
+         lambda p: details(actual=F.col("_artist"), expected=F.lit(p.artist), source=_source("csv_artist")),
+         {"ok": "artist as expected", "fail": "artist differs"}),
+    Rule("exif_copyright", lambda p: _passes(F.col("_rights").eqNullSafe(F.lit(p.copyright))),
+         lambda p: details(actual=F.col("_rights"), expected=F.lit(p.copyright), source=_source("csv_copyright")),
+         {"ok": "copyright as expected", "fail": "copyright differs"}),
+    Rule("datetime_original", _capture_time, lambda p: details(dtoriginal_utc=F.col("csv_dtoriginal_utc")),
+         {"ok": "inside the survey window", "warn": "unreadable or outside the survey window",
+          "unverified": "no capture time available"}),
+    Rule("gps_present", lambda p: _passes(in_box(F.col("_lat"), F.col("_lon"), p)),
+         lambda p: details(lat=F.col("_lat"), lon=F.col("_lon"),
+                           source=F.when(F.col("csv_lat").isNotNull(), "CSV").otherwise("EXIF")),
+         {"ok": "inside the survey box", "fail": "missing or outside the box"}),
+    Rule("xmp_attribution_url", _attribution,
+         lambda p: details(actual=F.col("xmp_attribution_url"), expected=F.lit(p.attribution_url)),
+         {"ok": "points to the release", "fail": "points elsewhere", "unverified": "tag not read"}),
+    Rule("iptc_credit", _credit,
+         lambda p: details(actual=F.col("iptc_credit"), artist=F.col("_artist"), copyright=F.col("_rights")),
+         {"ok": "credit given", "warn": "no credit, but artist and copyright are there", "fail": "no rights information"}),
+)
 
 
-def rule_attribution_url(p: SurveyProfile) -> Column:
-    url = F.col("xmp_attribution_url")
-    sev = F.when(url.isNull(), "unverified").when(url == p.attribution_url, "ok").otherwise("fail")
-    return _finding("xmp_attribution_url", sev,
-                    _say(sev, ok="points to the release", fail="points elsewhere", unverified="tag not read"),
-                    details(actual=url, expected=F.lit(p.attribution_url)))
-
-
-def rule_credit(p: SurveyProfile) -> Column:
-    artist = truthy(F.col("csv_artist"), F.col("exif_artist"))
-    rights = truthy(F.col("csv_copyright"), F.col("exif_copyright"))
-    sev = (
-        F.when(F.col("iptc_credit").isNotNull(), "ok")
-        .when(artist.isNotNull() & rights.isNotNull(), "warn")
-        .otherwise("fail")
-    )
-    return _finding("iptc_credit", sev,
-                    _say(sev, ok="credit given", warn="no credit, but artist and copyright are there",
-                         fail="no rights information"),
-                    details(actual=F.col("iptc_credit"), artist=artist, copyright=rights))
+def severities(p: SurveyProfile) -> Column:
+    """(code, severity) of every rule for one image; a read error stands alone."""
+    one = lambda r: F.struct(F.lit(r.code).alias("code"), r.severity(p).alias("severity"))
+    return F.when(F.size("read_errors") > 0, F.array(one(READ_ERRORS))).otherwise(F.array(*[one(r) for r in RULES]))
 
 
-# Order matters: it breaks ties between severities of equal rank.
-RULES = (
-    rule_csv_join, rule_software_lineage, rule_filename_pattern, rule_camera, rule_dimensions, rule_artist,
-    rule_copyright, rule_datetime, rule_gps, rule_attribution_url, rule_credit,
-)
+def _per_rule(value: Callable[[Rule], Column]) -> Column:
+    out = F
+    for rule in (READ_ERRORS, *RULES):
+        out = out.when(F.col("f.code") == rule.code, value(rule))
+    return out
 
 
-def findings_array(profile: SurveyProfile) -> Column:
-    """All findings of one inventory row; a read error stands alone."""
-    unreadable = F.size("read_errors") > 0
-    return F.when(unreadable, F.array(rule_read_errors())).otherwise(F.array(*[r(profile) for r in RULES]))
+def _message(rule: Rule) -> Column:
+    out = F
+    for severity, text in rule.messages.items():
+        out = out.when(F.col("f.severity") == severity, text)
+    return out
 
 
 def image_findings(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
-    """Findings table: one scan of the inventory, no shuffle."""
-    lead = [F.col("site")] if "site" in inventory.columns else []
-    exploded = inventory.select(*lead, F.col("name").alias("scope"), F.posexplode(findings_array(profile)).alias("pos", "f"))
-    return exploded.select(
-        *[F.col(c) for c in ("site",) if lead],
-        "scope", F.lit("image").alias("scope_kind"), "pos", "f.code", "f.severity",
-        severity_rank(F.col("f.severity")).alias("rank"), "f.message", "f.details",
+    """Findings table: site, scope, scope_kind, pos, code, severity, rank, message, details. No shuffle."""
+    judged = evidence(inventory, profile).select("*", F.posexplode(severities(profile)).alias("pos", "f"))
+    return judged.select(
+        *(["site"] if "site" in inventory.columns else []),
+        F.col("name").alias("scope"), F.lit("image").alias("scope_kind"), "pos", "f.code", "f.severity",
+        severity_rank(F.col("f.severity")).alias("rank"),
+        _per_rule(_message).alias("message"),
+        _per_rule(lambda r: r.details(profile)).alias("details"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance
 from ..functions.quantiles import exact_percentiles
+from ..session import durable
 
 FINEST_LEVEL = 40
 
@@ -128,8 +129,11 @@ def orphans(markers: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def marker_report(markers: DataFrame) -> DataFrame:
-    """Every marker with its state: reconstructed, nearest neighbour, paired or orphan, pair length flag."""
-    nn = nearest_neighbours(markers)
+    """Every marker with its state: reconstructed, nearest neighbour, paired or orphan, pair length flag.
+
+    The neighbour table is checkpointed (runs a job): three later steps read it.
+    """
+    nn = durable(nearest_neighbours(markers))
     pairs = mutual_pairs(nn)
     sides = F.array(
         F.struct(F.col("a_pos").alias("pos"), F.col("b_label").alias("partner")),

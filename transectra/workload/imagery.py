@@ -377,7 +377,7 @@ def capture_time(v):
 
 @query("contact_sheet_layout", f"""WITH {ctes('files')}, o AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS n FROM v_files)
   SELECT name, i, i // 36 AS sheet, (i % 36) // 6 AS "row", (i % 36) % 6 AS col, 8 + (i % 36) % 6 * 228 AS x, 8 + (i % 36) // 6 * 191 AS y,
-  'contact_sheet_' || lpad(CAST(i // 36 + 1 AS VARCHAR), greatest(3, length(CAST((n + 35) // 36 AS VARCHAR))), '0') || '.jpg' AS sheet_name,
+  'contact_sheet_' || lpad(CAST(i // 36 + 1 AS VARCHAR), CAST(greatest(3, length(CAST((n + 35) // 36 AS VARCHAR))) AS INTEGER), '0') || '.jpg' AS sheet_name,
   CASE WHEN length(name) > 31 THEN substr(name, 1, 30) || '…' ELSE name END AS caption FROM o""")
 def contact_sheet_layout(v):
     return layout.contact_sheet_layout(v("files"))

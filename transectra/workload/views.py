@@ -140,7 +140,7 @@ FROM {orders} GROUP BY o_custkey, o_orderstatus
 """
 
 VIEWS["cloud"] = """
-SELECT l_linestatus AS chunk, l_quantity AS x, l_discount * 100 + l_linenumber AS y, l_extendedprice / 10000 AS z,
+SELECT l_linestatus AS chunk, l_quantity AS x, l_discount * 100 + l_linenumber AS y, CAST(floor(l_extendedprice) AS DOUBLE) / 16384 AS z,
   CAST(l_orderkey % 256 AS SMALLINT) AS confidence, l_returnflag AS cls
 FROM {lineitem}
 """
