@@ -27,7 +27,7 @@ def strip_or_null(c: Column) -> Column:
 
 def csv_cell(c: Column) -> Column:
     """Raw CSV cell to text or null: null tokens first, then strip, then blank to null."""
-    return F.when(~c.isin(*CSV_NULL_TOKENS), strip_or_null(c))
+    return strip_or_null(F.when(~c.isin(*CSV_NULL_TOKENS), c))
 
 
 def csv_number(c: Column) -> Column:
