@@ -82,15 +82,11 @@ def transect_layout(
     (they are kept so that they can be counted) unless one transect is asked for.
     """
     base = root.rstrip("/")
-    files = list_images(spark, base, profile, recursive=True).withColumn(
-        "folder", F.element_at(F.split("path", "/"), -2)
-    )
-    depth = F.size(F.split("path", "/"))
-    root_depth = files.select(F.min(depth)).first()[0]
-    if root_depth is None:
-        raise FileNotFoundError(f"no images under {root}")
-    top = F.element_at(F.split(F.lit(base), "/"), -1)
-    foldered = files.filter(F.col("folder") != top)
+    top, parts = basename(F.lit(base)), F.split("path", "/")
+    files = list_images(spark, base, profile, recursive=True).withColumns({
+        "folder": F.element_at(parts, -2), "above": F.element_at(parts, -3),
+    })
+    foldered = files.filter(F.col("above") == top)
     if transect:
         foldered = foldered.filter(F.upper("folder") == transect.upper())
     if not foldered.isEmpty():
