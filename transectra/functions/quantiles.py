@@ -11,13 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..joins import join_group_facts
+
 
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], accuracy: int = 10_000
 ) -> DataFrame:
     """One row per key: ``keys`` + one linearly interpolated percentile per entry of ``probs``.
 
-    Nulls are ignored and ``keys`` must not be empty. The sketch's rank error is at most n/accuracy, so edges two
+    Nulls are ignored and ``keys`` must not be empty. The brackets are computed when
+    the function is called (one job); the second pass is lazy. The sketch's rank error is at most n/accuracy, so edges two
     errors away from the wanted rank are sure to enclose it; groups of up to
     4*accuracy rows skip the sketch and keep all their (few) distinct values.
     """
@@ -35,7 +38,7 @@ def exact_percentiles(
         *keys, "_n",
         F.when(F.col("_n") <= 4 * accuracy, F.array("_bottom", "_top")).otherwise(F.col("_edges")).alias("_edges"),
     )
-    joined = base.join(brackets, keys)
+    joined = join_group_facts(base, brackets, keys)
 
     # A value outside every bracket moves up to the next bracket's lower edge (or
     # down to the last upper edge): ranks inside the brackets stay what they were.

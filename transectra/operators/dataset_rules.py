@@ -9,7 +9,9 @@ from ..functions.classify import severity_rank
 from ..functions.geo import in_box
 from ..functions.quantiles import exact_percentiles
 from ..functions.text import blank_to_null, details, filename_parts
+from ..joins import join_group_facts
 from ..profile import SurveyProfile
+from ..session import durable
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -56,11 +58,14 @@ def size_medians(inventory: DataFrame) -> DataFrame:
     return exact_percentiles(sized, ["site"], F.col("size_bytes"), {"median_bytes": 0.5})
 
 
-def small_files(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
+def small_files(
+    inventory: DataFrame, profile: SurveyProfile = SurveyProfile(), medians: DataFrame | None = None
+) -> DataFrame:
     """Files below the outlier fraction of their site's median size."""
+    medians = medians if medians is not None else size_medians(inventory)
     sized = inventory.filter(F.col("size_bytes") > 0).select("site", "name", "size_bytes")
     limit = F.col("median_bytes") * F.lit(profile.size_outlier_fraction)
-    return sized.join(size_medians(inventory), "site").filter(F.col("size_bytes") < limit)
+    return join_group_facts(sized, medians, ["site"]).filter(F.col("size_bytes") < limit)
 
 
 def transect_events(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
@@ -90,7 +95,10 @@ def _cameras(inventory: DataFrame) -> DataFrame:
 
 
 def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile(), expected_sites: DataFrame | None = None):
-    """One row per site with every number the dataset rules judge."""
+    """One row per site with every number the dataset rules judge.
+
+    Scans the inventory several times, each time a few columns: pass a stored table.
+    """
     dups = duplicate_groups(inventory)
     dup_heads = _head_list(dups, "site", [F.col("first_name"), F.col("sha256")], 10,
                            F.struct("sha256", "files", "first_name")).withColumnRenamed("_heads", "dup_heads")
@@ -104,7 +112,8 @@ def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()
         F.min("source").alias("fix_source"),
     )
 
-    small = small_files(inventory, profile)
+    medians = durable(size_medians(inventory))
+    small = small_files(inventory, profile, medians)
     small_heads = _head_list(small, "site", [F.col("name")], 20,
                              F.struct("name", "size_bytes")).withColumnRenamed("_heads", "small_heads")
     small_sums = small.groupBy("site").agg(F.count(F.lit(1)).alias("small_files"))
@@ -120,7 +129,7 @@ def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()
     )
 
     out = _site_counts(inventory)
-    for part in (_cameras(inventory), dup_sums, dup_heads, fix_sums, fix_heads, size_medians(inventory), small_sums,
+    for part in (_cameras(inventory), dup_sums, dup_heads, fix_sums, fix_heads, medians, small_sums,
                  small_heads, event_sums, event_heads):
         out = out.join(part, "site", "left")
     if expected_sites is not None:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import distance
 from ..functions.quantiles import exact_percentiles
+from ..joins import join_group_facts
 from ..session import durable
 
 FINEST_LEVEL = 40
@@ -59,7 +60,7 @@ def nearest_neighbours(markers: DataFrame) -> DataFrame:
         *[F.min(a).alias(f"_m{a}") for a in "xyz"],
         F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("_span"),
     ).filter(F.col("_span") > 0)
-    scaled = spots.join(corner, "chunk")
+    scaled = join_group_facts(spots, corner, ["chunk"])
     unit = lambda a: (F.col(a) - F.col(f"_m{a}")) / (F.col("_span") * F.lit(1.0 + 1e-9))
     scaled = scaled.select(*at, "id", "second", "_span", *[unit(a).alias(f"u{a}") for a in "xyz"])
     cell = lambda level: [F.floor(F.col(f"u{a}") / _edge(level)).alias(f"c{a}") for a in "xyz"]

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import join_group_facts
 from ..profile import ReconstructionProfile
 
 _DEFAULTS = ReconstructionProfile()
@@ -162,7 +163,7 @@ def overview_resolution(size_x: float, size_y: float) -> float:
 def elevation_grid(cloud: DataFrame, resolution: float = _DEFAULTS.dsm_resolution_m) -> DataFrame:
     """Cells ``chunk, ix, iy, z_max, z_mean, n`` anchored at each chunk's lower corner."""
     corner = cloud.groupBy("chunk").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-    placed = cloud.join(corner, "chunk").select(
+    placed = join_group_facts(cloud, corner, ["chunk"]).select(
         "chunk",
         F.floor((F.col("x") - F.col("x0")) / F.lit(resolution)).alias("ix"),
         F.floor((F.col("y") - F.col("y0")) / F.lit(resolution)).alias("iy"),

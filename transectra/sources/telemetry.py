@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..joins import join_group_facts
 from .tables import line_order
 
 # Columns of the two log kinds.
@@ -35,7 +36,7 @@ def numeric_samples(raw: DataFrame, kind: str) -> DataFrame:
 def newest_file(logs: DataFrame) -> DataFrame:
     """Rows of each host's newest log file (needs host, file, modified)."""
     newest = logs.groupBy("host").agg(F.max_by("file", F.struct("modified", "file")).alias("file"))
-    return logs.join(newest, ["host", "file"], "left_semi")
+    return join_group_facts(logs, newest, ["host", "file"], "left_semi")
 
 
 def read_telemetry(spark: SparkSession, path, kind: str, host: Column | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import classify, geo, text
 from ..operators import dataset_rules, decisions, image_rules, inventory, layout, manifest, report, statistics
 from ..sources.images import label_by_name
 from ..sources.tables import metadata_records, xmp_records
+from ..session import durable
 from .registry import query
 from .views import PROFILE as P
 from .views import ctes, duck_text
@@ -24,6 +25,11 @@ def build(v):
     )
 
 
+def stored(v):
+    """The inventory computed once, for queries that scan it several times."""
+    return durable(build(v))
+
+
 _cell = lambda c: f"nullif(trim(CASE WHEN {c} IN ('', 'NaN', 'n/a') THEN '' ELSE {c} END), '')"
 _tag = lambda c: f"nullif(trim({c}), '')"
 
@@ -186,14 +192,14 @@ for _code in ("read_errors", *_CODES):
 
 @query("dataset_findings", f"WITH {DS} SELECT site, pos, code, severity, rank FROM ds")
 def dataset_findings(v):
-    return dataset_rules.dataset_findings(build(v), P).select("site", "pos", "code", "severity", "rank")
+    return dataset_rules.dataset_findings(stored(v), P).select("site", "pos", "code", "severity", "rank")
 
 
 @query("expected_sites", f"""WITH {DS}, exp AS (SELECT DISTINCT lang AS site FROM documents UNION SELECT DISTINCT c_mktsegment FROM customer)
   SELECT site, pos, code, severity FROM ds UNION ALL SELECT site, 0, 'file_count', 'fail' FROM exp WHERE site NOT IN (SELECT site FROM ds)""")
 def expected_sites(v):
     sites = v.table("documents").select(F.col("lang").alias("site")).union(v.table("customer").select("c_mktsegment")).distinct()
-    return dataset_rules.dataset_findings(build(v), P, sites).select("site", "pos", "code", "severity")
+    return dataset_rules.dataset_findings(stored(v), P, sites).select("site", "pos", "code", "severity")
 
 
 @query("file_count", f"WITH {INV} SELECT site, count(*) AS n, count(*) BETWEEN {P.file_count_min} AND {P.file_count_max} AS in_range FROM inv GROUP BY site")
@@ -209,13 +215,13 @@ def duplicate_groups(v):
 
 @query("duplicate_files", f"WITH {DS} SELECT i.site, i.sha256, i.name, d.files FROM inv AS i JOIN dup AS d ON i.site = d.site AND i.sha256 = d.sha256")
 def duplicate_files(v):
-    return dataset_rules.duplicate_files(build(v))
+    return dataset_rules.duplicate_files(stored(v))
 
 
 @query("first_duplicate_groups", f"""WITH {DS} SELECT site, sha256, files, rn FROM (SELECT *, row_number() OVER
   (PARTITION BY site ORDER BY first_name, sha256) AS rn FROM dup) WHERE rn <= 10""")
 def first_duplicate_groups(v):
-    top = dataset_rules.first_n(dataset_rules.duplicate_groups(build(v)), ["site"], [F.col("first_name"), F.col("sha256")], 10)
+    top = dataset_rules.first_n(dataset_rules.duplicate_groups(stored(v)), ["site"], [F.col("first_name"), F.col("sha256")], 10)
     return top.select("site", "sha256", "files", F.col("_rn").alias("rn"))
 
 
@@ -227,17 +233,17 @@ def camera_pairs(v):
 
 @query("station_fixes", f"WITH {DS} SELECT site, source, lat, lon, inside FROM fix")
 def station_fixes(v):
-    return dataset_rules.station_fixes(build(v), P)
+    return dataset_rules.station_fixes(stored(v), P)
 
 
 @query("size_medians", f"WITH {DS} SELECT site, median_bytes FROM med")
 def size_medians(v):
-    return dataset_rules.size_medians(build(v))
+    return dataset_rules.size_medians(stored(v))
 
 
 @query("size_outliers", f"WITH {DS} SELECT site, name, size_bytes, median_bytes FROM small")
 def size_outliers(v):
-    return dataset_rules.small_files(build(v), P).select("site", "name", "size_bytes", "median_bytes")
+    return dataset_rules.small_files(stored(v), P).select("site", "name", "size_bytes", "median_bytes")
 
 
 @query("csv_coverage", f"WITH {DS} SELECT site, matched, n, 100.0 * CAST(matched AS DOUBLE) / n AS pct FROM cnt")
@@ -257,7 +263,7 @@ _OVERALL = "SELECT site, arg_min(severity, (-rank, k, scope, pos)) AS overall_se
 
 
 def _findings(v):
-    inv = build(v)
+    inv = stored(v)
     return dataset_rules.dataset_findings(inv, P), image_rules.image_findings(inv, P)
 
 
@@ -306,7 +312,7 @@ def inventory_totals(v):
   JOIN (SELECT site, count(*) FILTER (WHERE severity = 'fail') AS files_with_failures,
         count(*) FILTER (WHERE severity = 'warn') AS files_with_warnings FROM w GROUP BY site) AS f ON o.site = f.site""")
 def report_headers(v):
-    inv = build(v)
+    inv = stored(v)
     ds, img = dataset_rules.dataset_findings(inv, P), image_rules.image_findings(inv, P)
     return report.report_headers(inv, ds, img, "doi", P).select(
         "site", "overall_severity", "image_count", "total_bytes", "files_with_failures", "files_with_warnings"
@@ -330,7 +336,7 @@ _D = ("SELECT '{f}' AS field, count({c}) AS count, round(avg({c}), 9) AS mean, r
 @query("describe_inventory", f"WITH {INV}, d AS (SELECT gps_lat, gps_lon, CAST(size_bytes AS DOUBLE) / 1048576 AS size_mb FROM inv) "
        + " UNION ALL ".join(_D.format(f=f, c=f) for f in ("gps_lat", "gps_lon", "size_mb")))
 def describe_inventory(v):
-    out = statistics.describe(build(v), {"gps_lat": F.col("gps_lat"), "gps_lon": F.col("gps_lon"),
+    out = statistics.describe(stored(v), {"gps_lat": F.col("gps_lat"), "gps_lon": F.col("gps_lon"),
                                          "size_mb": F.col("size_bytes") / F.lit(1048576.0)})
     return out.withColumns({"mean": F.round("mean", 9), "std": F.round("std", 6)})
 
