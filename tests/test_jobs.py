@@ -45,7 +45,7 @@ def test_validate_intake(spark, site, tmp_path, profile):
     gate = validate_intake(spark, str(site), out, "10.1/x", tables.read_metadata_csv(spark, str(tmp_path / "meta.csv")), manifest=m, profile=p, strict=True)
     assert [tuple(r) for r in gate.collect()] == [("SiteA", "fail", True)]
     report = read_json(spark, f"{out}/qc_report")[0]
-    assert report["image_count"] == 13 and report["csv_join_count"] == 12 and report["files_with_failures"] == 1
+    assert report["image_count"] == 13 and report["csv_join_count"] == 12 and report["failed_file_count"] == 1 and report["package_version"]
     assert report["overall_severity"] == "fail" and report["doi"] == "10.1/x" and len(report["dataset_findings"]) == 7
     assert report["per_image_findings_rollup"]["read_errors"] == {"ok": 0, "warn": 0, "fail": 1, "unverified": 0}
     assert report["per_image_findings_rollup"]["iptc_credit"]["warn"] == 12
@@ -107,8 +107,8 @@ def test_small_artefacts(spark, tmp_path):
     artefacts.write_arm_results(arms, at("arms"))
     assert len(read_json(spark, at("arms"))) == 2
     snaps = spark.createDataFrame([("T1", "pre", 1, 5.0), ("T1", "pre", 2, 6.0), ("T1", "post", 3, 1.0)], "chunk string, snapshot string, ts int, size_x double")
-    merged = artefacts.merge_extents(snaps).first()
-    assert (merged.pre.size_x, merged.post.size_x) == (6.0, 1.0)
+    artefacts.write_extents(snaps, at("ext"))
+    assert read_json(spark, at("ext")) == [{"chunk": "T1", "pre": {"size_x": 6.0}, "post": {"size_x": 1.0}}]
     facts = spark.createDataFrame([("T1", 4)], "chunk string, cameras_total int")
     stats = spark.createDataFrame([("T1", "align", 1, "{}")], "chunk string, stage string, ts int, payload string")
     prods = spark.createDataFrame([("T1", "dense", "p", 5)], "chunk string, product string, path string, bytes bigint")

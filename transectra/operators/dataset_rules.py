@@ -9,7 +9,7 @@ from ..functions.classify import severity_rank
 from ..functions.geo import in_box
 from ..functions.quantiles import exact_percentiles
 from ..functions.text import blank_to_null, details, filename_parts
-from ..joins import join_group_facts
+from ..joins import join_group_facts, merge_by_key
 from ..profile import SurveyProfile
 from ..session import durable
 
@@ -36,9 +36,8 @@ def duplicate_groups(inventory: DataFrame) -> DataFrame:
 
 def duplicate_files(inventory: DataFrame) -> DataFrame:
     """Every file of every duplicate group, as rows."""
-    return inventory.select("site", "sha256", "name").join(
-        duplicate_groups(inventory).select("site", "sha256", "files"), ["site", "sha256"]
-    )
+    groups = duplicate_groups(inventory).select("site", "sha256", "files")
+    return join_group_facts(inventory.select("site", "sha256", "name"), groups, ["site", "sha256"])
 
 
 def station_fixes(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
@@ -128,12 +127,11 @@ def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()
         F.count_if(F.col("uuid_count") > 1).alias("multi_event_transects"),
     )
 
-    out = _site_counts(inventory)
-    for part in (_cameras(inventory), dup_sums, dup_heads, fix_sums, fix_heads, medians, small_sums,
-                 small_heads, event_sums, event_heads):
-        out = out.join(part, "site", "left")
+    parts = [_site_counts(inventory), _cameras(inventory), dup_sums, dup_heads, fix_sums, fix_heads, medians, small_sums,
+             small_heads, event_sums, event_heads]
     if expected_sites is not None:
-        out = expected_sites.select("site").distinct().join(out, "site", "full")
+        parts.append(expected_sites.select("site").distinct())
+    out = merge_by_key(parts, "site")
     zero = ("n", "matched", "hashed", "sized", "camera_pairs", "dup_groups", "dup_files", "fixes", "fixes_outside",
             "small_files", "n_transects", "named", "uuid_entries", "multi_event_transects")
     return out.fillna(0, subset=list(zero))

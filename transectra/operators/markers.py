@@ -48,9 +48,8 @@ def nearest_neighbours(markers: DataFrame) -> DataFrame:
         F.min(F.when(F.col("_r") == 2, F.col("id"))).alias("second"),
     )
 
-    copies = pts.join(
-        spots.filter(F.col("second").isNotNull()).withColumnsRenamed({"id": "first"}), at
-    ).select(
+    shared_spots = spots.filter(F.col("second").isNotNull()).withColumnRenamed("id", "first")
+    copies = join_group_facts(pts, shared_spots, at).select(
         "chunk", "id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nn"),
         F.lit(0.0).alias("distance"),
     )

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import SEVERITIES
+from ..joins import merge_by_key
 from ..profile import SurveyProfile
+from .image_rules import image_verdicts
 
 
 def all_findings(dataset: DataFrame, images: DataFrame) -> DataFrame:
@@ -33,10 +35,17 @@ def overall_severity(findings: DataFrame, keys: list[str] = ("site",)) -> DataFr
 
 
 def worst_per_file(findings: DataFrame) -> DataFrame:
-    """Worst severity of every image; dataset findings do not count."""
+    """Worst severity of every image; dataset findings do not count.
+
+    Rank, rule position and severity are packed into one number, so the minimum is
+    a hash aggregation and each task sends one row per image.
+    """
     images = findings.filter(F.col("scope_kind") == "image")
     keys = ["site", "scope"] if "site" in findings.columns else ["scope"]
-    return images.groupBy(*keys).agg(_worst(["pos"]).alias("severity"))
+    names = F.array(*[F.lit(s) for s in SEVERITIES])
+    packed = (2 - F.col("rank")) * 4_000_000 + F.col("pos") * 4 + F.array_position(names, F.col("severity")).cast("int") - 1
+    worst = images.groupBy(*keys).agg(F.min(packed).alias("_w"))
+    return worst.select(*keys, F.get(names, F.col("_w") % 4).alias("severity"))
 
 
 def files_with(findings: DataFrame, severity: str) -> DataFrame:
@@ -64,13 +73,15 @@ def report_headers(
 ) -> DataFrame:
     """One report document per site: scalars, dataset findings, rollup.
 
-    Only bounded parts are nested (seven dataset findings, at most twelve rules);
+    ``images`` is the findings table of the same inventory. Only bounded parts are nested (seven dataset findings, at most twelve rules);
     per-image findings and file lists stay tables beside it.
     """
-    worst = overall_severity(all_findings(dataset, images))
-    counts = worst_per_file(images).groupBy("site").agg(
-        F.count_if(F.col("severity") == "fail").alias("files_with_failures"),
-        F.count_if(F.col("severity") == "warn").alias("files_with_warnings"),
+    verdicts = image_verdicts(inventory, profile)
+    judged = ["site", "scope", "scope_kind", "pos", "severity", "rank"]
+    worst = overall_severity(dataset.select(*judged).unionByName(verdicts.select(*judged)))
+    counts = verdicts.groupBy("site").agg(
+        F.count_if(F.col("severity") == "fail").alias("failed_file_count"),
+        F.count_if(F.col("severity") == "warn").alias("warned_file_count"),
     )
     nested = dataset.groupBy("site").agg(F.sort_array(F.collect_list(
         F.struct("pos", "code", "severity", "message", "scope", "details"))).alias("dataset_findings"))
@@ -79,13 +90,15 @@ def report_headers(
     lineage = profile.lineage()
     absent = lineage["fields_absent_by_design"]
     texts = lambda values: F.array(*[F.lit(v) for v in values])
-    out = worst.join(totals(inventory), "site", "left")
-    for part in (counts, nested, per_rule):
-        out = out.join(part, "site", "left")
-    out = out.fillna(0, subset=["image_count", "csv_join_count", "total_bytes", "files_with_failures", "files_with_warnings"])
+    out = merge_by_key([worst, totals(inventory), counts, nested, per_rule], "site")
+    out = out.fillna(0, subset=["image_count", "csv_join_count", "total_bytes", "failed_file_count", "warned_file_count"])
     return out.withColumns({
         "schema": F.lit("transectra/intake_qc/v2"),
         "doi": F.lit(doi),
+        # The unbounded parts, by the folder they are written to beside the report.
+        "per_image_findings": F.lit("findings"),
+        "files_with_failures": F.lit("files_with_failures"),
+        "files_with_warnings": F.lit("files_with_warnings"),
         "generated_at_utc": F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()),
                                           "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
         "metadata_lineage": F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..operators.acquisition import coverage_counts, manifest_coverage
 from ..operators.dataset_rules import dataset_findings
 from ..operators.image_rules import image_findings
@@ -33,23 +34,27 @@ def validate_intake(
     manifest: DataFrame | None = None,
     profile: SurveyProfile = SurveyProfile(),
     strict: bool = False,
+    context: dict[str, str] | None = None,
 ) -> DataFrame:
     """Catalogue a folder (or a glob of site folders), write all artefacts, return the gate per site.
 
-    The inventory is written once and read back: rules, report and gate then scan
-    narrow Parquet columns, and a lost executor never causes images to be read again.
+    Inventory and findings are written once and read back: rules, report and gate then
+    scan narrow Parquet columns, and a lost executor never causes images to be read again.
     """
     files = catalogue_images(spark, site_dir, known_hashes, profile)
     write_inventory(assemble_inventory(files, records, xmp), out_dir)
     inventory = spark.read.parquet(f"{out_dir}/inventory")
     dataset, images = judge(inventory, profile)
-    findings = all_findings(dataset, images)
-    headers = report_headers(inventory, dataset, images, doi, profile)
+    all_findings(dataset, images).write.mode("overwrite").parquet(f"{out_dir}/findings")
+    stored = spark.read.parquet(f"{out_dir}/findings")
+    dataset, images = (stored.filter(F.col("scope_kind") == kind) for kind in ("dataset", "image"))
+    context = {"site_dir": site_dir, "package_version": __version__, **(context or {})}
+    headers = report_headers(inventory, dataset, images, doi, profile, context)
     if manifest is not None:
         coverage = manifest_coverage(manifest, inventory)
         coverage.write.mode("overwrite").parquet(f"{out_dir}/manifest_coverage")
         coverage_counts(spark.read.parquet(f"{out_dir}/manifest_coverage")).write.mode("overwrite").json(
             f"{out_dir}/manifest_check"
         )
-    write_report(headers, findings, files_with(images, "fail"), files_with(images, "warn"), out_dir)
-    return strict_gate(spark.read.parquet(f"{out_dir}/findings"), strict).orderBy(F.col("site"))
+    write_report(headers, files_with(images, "fail"), files_with(images, "warn"), out_dir)
+    return strict_gate(stored, strict).orderBy(F.col("site"))

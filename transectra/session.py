@@ -22,15 +22,23 @@ def local_session(app: str = "transectra", cores: str = "*", shuffle_partitions:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints: the one the cluster names; a temporary one only in local mode, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` so that later reads see exactly the rows computed once.
 
     Used only where a result depends on how rows were partitioned (global row
-    numbers). The folder is the one the cluster names in ``spark.checkpoint.dir``;
-    a temporary one is set only where none is configured, as in tests.
+    numbers) or is small and read several times. Runs a job.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

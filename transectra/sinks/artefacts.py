@@ -53,9 +53,8 @@ def write_inventory_json(inventory: DataFrame, path: str) -> None:
     write_json(inventory, path)
 
 
-def write_report(headers: DataFrame, findings: DataFrame, failed: DataFrame, warned: DataFrame, path: str) -> None:
-    """Report documents per site beside the findings table and the two file lists."""
-    findings.write.mode("overwrite").parquet(f"{path}/findings")
+def write_report(headers: DataFrame, failed: DataFrame, warned: DataFrame, path: str) -> None:
+    """Report documents per site beside the two file lists; the findings table is written before."""
     write_json(failed, f"{path}/files_with_failures")
     write_json(warned, f"{path}/files_with_warnings")
     write_json(headers, f"{path}/qc_report")
@@ -106,6 +105,10 @@ def merge_extents(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("chunk").pivot("snapshot", ["pre", "post"]).agg(F.max_by(F.struct(*facts), F.col("ts")))
 
 
+def write_extents(snapshots: DataFrame, path: str) -> None:
+    write_json(merge_extents(snapshots), path)
+
+
 def write_cameras(cameras: DataFrame, path: str) -> None:
     write_json(cameras.select("chunk", "label", "enabled", "aligned"), path, ["chunk"])
 

@@ -290,6 +290,11 @@ def worst_per_file(v):
     return report.worst_per_file(image_rules.image_findings(build(v), P))
 
 
+@query("image_verdicts", f"{_WORST} SELECT * FROM w")
+def image_verdicts(v):
+    return image_rules.image_verdicts(build(v), P).select("site", "scope", "severity")
+
+
 @query("files_with_failures", f"{_WORST} SELECT site, scope FROM w WHERE severity = 'fail'")
 def files_with_failures(v):
     return report.files_with(image_rules.image_findings(build(v), P), "fail")
@@ -307,15 +312,15 @@ def inventory_totals(v):
 
 
 @query("report_headers", f"""{_WORST.replace('WITH ' + IMG, 'WITH ' + _ALL)} SELECT o.site, o.overall_severity, t.image_count, t.total_bytes,
-  f.files_with_failures, f.files_with_warnings FROM ({_OVERALL}) AS o
+  f.failed_file_count, f.warned_file_count FROM ({_OVERALL}) AS o
   JOIN (SELECT site, count(*) AS image_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM inv GROUP BY site) AS t ON o.site = t.site
-  JOIN (SELECT site, count(*) FILTER (WHERE severity = 'fail') AS files_with_failures,
-        count(*) FILTER (WHERE severity = 'warn') AS files_with_warnings FROM w GROUP BY site) AS f ON o.site = f.site""")
+  JOIN (SELECT site, count(*) FILTER (WHERE severity = 'fail') AS failed_file_count,
+        count(*) FILTER (WHERE severity = 'warn') AS warned_file_count FROM w GROUP BY site) AS f ON o.site = f.site""")
 def report_headers(v):
     inv = stored(v)
     ds, img = dataset_rules.dataset_findings(inv, P), image_rules.image_findings(inv, P)
     return report.report_headers(inv, ds, img, "doi", P).select(
-        "site", "overall_severity", "image_count", "total_bytes", "files_with_failures", "files_with_warnings"
+        "site", "overall_severity", "image_count", "total_bytes", "failed_file_count", "warned_file_count"
     )
 
 

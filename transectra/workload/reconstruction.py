@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import decisions, manifest, quality, telemetry
 from ..profile import ReconstructionProfile
+from ..session import shared_folder
 from ..sinks.artefacts import merge_extents
 from ..sources.telemetry import numeric_samples
 from ..streaming.telemetry import start_summary
@@ -191,7 +191,5 @@ def streamed_cpu_summary(v):
     assert tables_of(text) == {"events"}
     raw = v.spark.sql(spark_text(text), events=events)
     name = f"telemetry_{uuid.uuid4().hex}"
-    base = v.spark.conf.get("spark.checkpoint.dir", None)
-    checkpoint = f"{base}/{name}" if base else tempfile.mkdtemp(prefix="spark-stream-")
-    start_summary(samples(raw, "cpu"), name, checkpoint).awaitTermination()
+    start_summary(samples(raw, "cpu"), name, f"{shared_folder(v.spark)}/{name}").awaitTermination()
     return v.spark.table(name)
