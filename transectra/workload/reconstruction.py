@@ -150,12 +150,12 @@ def integrity_verdict(v):
     return manifest.integrity_verdict(manifest.product_integrity(v("products"), v("product_files")))
 
 
-@query("extent_snapshots", """SELECT l_linestatus AS chunk, arg_max(l_quantity, l_orderkey * 8 + l_linenumber) FILTER (WHERE l_returnflag = 'A') AS pre_size,
-  arg_max(l_quantity, l_orderkey * 8 + l_linenumber) FILTER (WHERE l_returnflag = 'N') AS post_size FROM lineitem GROUP BY 1""")
+@query("extent_snapshots", """SELECT l_linestatus AS chunk, arg_max(l_quantity, l_orderkey * 8 + l_linenumber + l_quantity / 100) FILTER (WHERE l_returnflag = 'A') AS pre_size,
+  arg_max(l_quantity, l_orderkey * 8 + l_linenumber + l_quantity / 100) FILTER (WHERE l_returnflag = 'N') AS post_size FROM lineitem GROUP BY 1""")
 def extent_snapshots(v):
     rows = v.table("lineitem").select(
         F.col("l_linestatus").alias("chunk"), F.when(F.col("l_returnflag") == "A", "pre").when(F.col("l_returnflag") == "N", "post").alias("snapshot"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ts"), F.col("l_quantity").alias("size_x"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber") + F.col("l_quantity") / 100).alias("ts"), F.col("l_quantity").alias("size_x"),
     )
     return merge_extents(rows).select("chunk", F.col("pre.size_x").alias("pre_size"), F.col("post.size_x").alias("post_size"))
 
