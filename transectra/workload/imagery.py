@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, geo, text
 from ..operators import dataset_rules, decisions, image_rules, inventory, layout, manifest, report, statistics
-from ..sources.images import label_by_name
+from ..sources.images import known_bad, label_by_name, with_known_bad
 from ..sources.tables import metadata_records, xmp_records
 from ..session import durable
 from .registry import query
@@ -218,7 +218,7 @@ def duplicate_files(v):
     return dataset_rules.duplicate_files(stored(v))
 
 
-@query("first_duplicate_groups", f"""WITH {DS} SELECT site, sha256, files, rn FROM (SELECT *, row_number() OVER
+@query("first_duplicate_groups", f"""WITH {DS} SELECT site, sha256, files, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER
   (PARTITION BY site ORDER BY first_name, sha256) AS rn FROM dup) WHERE rn <= 10""")
 def first_duplicate_groups(v):
     top = dataset_rules.first_n(dataset_rules.duplicate_groups(stored(v)), ["site"], [F.col("first_name"), F.col("sha256")], 10)
@@ -408,6 +408,28 @@ def preflight_failures(v):
     return decisions.preflight_failures(files(v), P)
 
 
+_BAD = P.replace(known_bad_files=("IMG_000097.tif", "IMG_999999.tif"))
+_BAD_SQL = f"""WITH {ctes('files')}, kb AS (SELECT n.name, min(f.relpath) AS path FROM (VALUES ('IMG_000097.tif'), ('IMG_999999.tif')) AS n(name)
+  LEFT JOIN v_files AS f ON f.name = n.name GROUP BY n.name)"""
+
+
+@query("known_bad_lookup", f"{_BAD_SQL} SELECT name, path FROM kb")
+def known_bad_lookup(v):
+    return known_bad(v("files").withColumn("path", F.col("relpath")), _BAD)
+
+
+@query("subset_with_known_bad", f"""{_BAD_SQL} SELECT path, split_part(path, '/', 2) AS name FROM (SELECT relpath AS path FROM v_files WHERE site = 'en'
+  UNION SELECT path FROM kb WHERE path IS NOT NULL)""")
+def subset_with_known_bad(v):
+    images = v("files").withColumn("path", F.col("relpath"))
+    return with_known_bad(images.filter(F.col("site") == "en"), images, _BAD)
+
+
+@query("preflight_verdict", f"WITH {ctes('files')} SELECT count(*) AS failures, coalesce(bool_and(contains(name, 'IMG_000097.tif') OR contains(name, 'IMG_999999.tif')), true) AS all_known_bad FROM v_files WHERE read_error IS NOT NULL")
+def preflight_verdict(v):
+    return decisions.preflight_verdict(decisions.preflight_failures(files(v), _BAD))
+
+
 @query("severity_ranks", f"WITH {IMG} SELECT DISTINCT severity, rank FROM img")
 def severity_ranks(v):
     found = image_rules.image_findings(build(v), P)

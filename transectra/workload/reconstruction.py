@@ -123,6 +123,13 @@ def pending_work(v):
     return manifest.pending_work(v("work"), v("stage_stats")).select("segment", "chunk", "stage")
 
 
+@query("carried_scale", f"""WITH {ctes('stage_stats', 'chunk_facts')} SELECT s.chunk, s.stage, s.ts, f.markers, f.has_dense FROM v_stage_stats AS s
+  LEFT JOIN v_chunk_facts AS f ON s.chunk = f.chunk""")
+def carried_scale(v):
+    carried = manifest.carry_scale(v("stage_stats"), v("chunk_facts").select("chunk", "markers", "has_dense"))
+    return carried.select("chunk", "stage", "ts", "scale_info.markers", "scale_info.has_dense")
+
+
 @query("observed_quality", f"""WITH {ctes('chunk_facts')} SELECT label, cameras_aligned, cameras_total, CAST(100 AS DOUBLE) * cameras_aligned / cameras_total AS aligned_pct,
   markers, scalebars, has_dense, has_dsm, has_ortho, CAST(0.27 AS DOUBLE) AS rms_envelope_lo, CAST(0.52 AS DOUBLE) AS rms_envelope_hi,
   CAST(3.41 AS DOUBLE) AS max_horizontal_mm, CAST(1 AS DOUBLE) AS scalebar_target_mm FROM v_chunk_facts""")
