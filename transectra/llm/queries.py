@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, language, packing, pieces, quality, secrets, tokenfile
+from . import exact, jaccard, language, packing, pieces, quality, secrets, tokenfile
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,11 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES.update({f.__name__: f for f in (op1_quality, op3_language, op4_packing, op5_token_file, op6_secrets, op7_exact_dedup, op8_pieces)})
+def op9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES.update({f.__name__: f for f in (op1_quality, op3_language, op4_packing, op5_token_file, op6_secrets, op7_exact_dedup, op8_pieces, op9_similar)})
 
 ORACLES["op7_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
