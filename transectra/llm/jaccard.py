@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .frames import settle
+from .merging import merge, pieces_of
 
 WORDS = 5
 #: Similarity threshold in hundredths.
@@ -50,7 +51,6 @@ ENTRIES_PER_BUCKET = 2_000_000
 #: Entries of a list that are judged together before they are judged singly.
 BLOCK = 256
 REMEMBERED = 200_000
-_PIECE = 1 << 16
 
 
 # --- shingles -----------------------------------------------------------------------
@@ -98,39 +98,7 @@ def prefix_length(n: np.ndarray | int, least: int = LEAST):
     return n - (least * n + 99) // 100 + 1
 
 
-# --- tables of bytes that all tasks add to ------------------------------------------
-
-def _merged(parts: DataFrame, dtype: str, add) -> dict[int, np.ndarray]:
-    """Parts (block, data) of the tasks combined per block, streaming; one array per block reaches the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch["block"].to_pylist(), batch["data"]):
-                x = np.frombuffer(data.as_buffer(), dtype)
-                if block in total:
-                    add(total[block], x, out=total[block])
-                else:
-                    total[block] = x.copy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
-
-    rows = parts.repartition("block").mapInArrow(run, "block int, data binary").collect()
-    return {r["block"]: np.frombuffer(r["data"], dtype) for r in rows}
-
-
-def _pieces_of(table: np.ndarray) -> pa.RecordBatch:
-    cut = table.reshape(-1, min(len(table), _PIECE))
-    used = [i for i in range(len(cut)) if cut[i].any()]
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([cut[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
-
-
-def _whole(parts: dict[int, np.ndarray], size: int, dtype: str) -> np.ndarray:
-    out = np.zeros(size, dtype).reshape(-1, min(size, _PIECE))
-    for i, x in parts.items():
-        out[i] = x
-    return out.reshape(-1)
-
+# --- what all tasks add up -----------------------------------------------------------
 
 def frequency_classes(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, int]:
     """(binary logarithm of each counter of a sketch of shingle counts over all texts, number of shingles)."""
@@ -148,9 +116,9 @@ def frequency_classes(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
                     waiting, n = [], 0
         if waiting:
             table += np.bincount((np.concatenate(waiting) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        yield _pieces_of(table)
+        yield pieces_of(table)
 
-    counts = _whole(_merged(rows.select("text").mapInArrow(run, "block int, data binary"), "<i8", np.add), size, "<i8")
+    counts = merge(rows.select("text").mapInArrow(run, "block int, data binary"), size, "<i8", np.add)
     return np.frexp(counts.astype(float))[1].astype(np.uint8), int(counts.sum())
 
 
@@ -163,10 +131,9 @@ def _node_filter(nodes: DataFrame) -> np.ndarray:
         for batch in batches:
             for at in _filter_places(batch["node"].to_numpy()):
                 np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        yield _pieces_of(bits)
+        yield pieces_of(bits)
 
-    parts = nodes.select("node").mapInArrow(run, "block int, data binary")
-    return _whole(_merged(parts, "u1", np.bitwise_or), size // 8, "u1")
+    return merge(nodes.select("node").mapInArrow(run, "block int, data binary"), size // 8, "u1", np.bitwise_or)
 
 
 def _filter_places(nodes: np.ndarray) -> list[np.ndarray]:
