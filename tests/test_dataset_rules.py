@@ -59,7 +59,7 @@ def test_rules_by_site(spark, good, table, profile):
     details = {(r.site, r.code): json.loads(r.details) for r in findings.collect()}
     twins = details["twins", "hash_uniqueness"]
     assert twins["groups"] == 1 and twins["files"] == 3 and twins["first_groups"][0]["files"] == 3
-    assert details["outside", "gps_consistency"]["first_fixes"] == [{"lat": 24.5, "lon": -81.48781}, {"lat": 26.0, "lon": -81.48781}]
+    assert details["outside", "gps_consistency"]["first_fixes"] == [{"lat": 24.5, "lon": good(1)["csv_lon"]}, {"lat": 26.0, "lon": good(1)["csv_lon"]}]
     order = [r.code for r in findings.filter("site = 'good'").orderBy("pos").collect()]
     assert order == ["file_count", "dataset_camera_consistency", "hash_uniqueness", "gps_consistency", "size_outliers",
                      "csv_coverage", "subsite_cross_reference"]

@@ -74,7 +74,7 @@ def test_details_keep_nulls(good, table, profile):
     artist = next(json.loads(r.details) for r in rows if r.code == "exif_artist")
     assert artist == {"actual": None, "expected": profile.artist, "source": "EXIF"}
     name = next(json.loads(r.details) for r in rows if r.code == "filename_pattern")
-    assert name == {"date": "20220715", "site": "EDR", "transect": "T1", "swath": "R1", "seq": "000001"}
+    assert name == {"date": "20230711", "site": "EDR", "transect": "T3", "swath": "C2", "seq": "000001"}
 
 
 def test_profile_changes_the_rule(good, table, profile):

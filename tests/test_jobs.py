@@ -17,7 +17,7 @@ from transectra.sinks import artefacts
 from transectra.sources import tables
 from transectra.sources.telemetry import read_telemetry
 from transectra.streaming.intake import start_intake
-from transectra.streaming.telemetry import start_summary, telemetry_stream
+from transectra.streaming.telemetry import read_summary, start_summary, telemetry_stream
 
 METADATA = "image_id,uuid,preservedfilename,cammake,cammodel,artist,copyright,dtoriginal,lat,lng\n"
 
@@ -103,7 +103,12 @@ def test_small_artefacts(spark, tmp_path):
     artefacts.write_decisions(decisions.decide_arm(arms), at("dec"))
     doc = read_json(spark, at("dec"))[0]
     assert doc["decision"]["chosen_arm"] == "manual" and doc["arms"]["fallback"]["rms"] is None
-    assert tables.read_decisions(spark, at("dec")).first().verdict == "DECIDED"
+    back = tables.read_decisions(spark, at("dec"))
+    assert back.first().verdict == "DECIDED"
+    modes = decisions.resolve_modes(
+        spark.createDataFrame([("e",), ("f",)], "chunk string"), spark.createDataFrame([], "chunk string, override string"),
+        back.withColumnRenamed("experiment", "chunk"))
+    assert sorted(map(tuple, modes.collect())) == [("e", "manual", "resolved"), ("f", None, "refused")]
     artefacts.write_arm_results(arms, at("arms"))
     assert len(read_json(spark, at("arms"))) == 2
     snaps = spark.createDataFrame([("T1", "pre", 1, 5.0), ("T1", "pre", 2, 6.0), ("T1", "post", 3, 1.0)], "chunk string, snapshot string, ts int, size_x double")
@@ -134,14 +139,67 @@ def test_stage_records(spark):
     assert points.overview_resolution(10.0, 4.0) == 0.005
 
 
+def test_good_records_raise_no_alarm(spark):
+    """Records of all nine stages, written and parsed, for a chunk without faults and for one without anything."""
+    from transectra.plans import reconstruction as rec
+
+    make = spark.createDataFrame
+    cams = make([("T1", str(i), "0.8", True, True) for i in range(4)], "chunk string, label string, quality_raw string, enabled boolean, aligned boolean")
+    cloud = make([("T1", 0.0, 0.0, 1.0, 1), ("T1", 0.5, 0.5, 2.0, 9)], "chunk string, x double, y double, z double, confidence int")
+    scale = make([("T1", 1.5, [1.0])], "chunk string, transform_scale double, region_size array<double>")
+    both = make([("T1",), ("T2",)], "chunk string")
+    records = [
+        rec.import_record(cams), step4_record(cams), align_record(cams), rec.markers_record(make([("T1", 1.0)], "chunk string, x double"), both),
+        rec.reduce_record(make([("T1", "bar")], "chunk string, label string"), both), rec.dense_record(scale, cloud, both),
+        filter_record(cloud, chunks=both), dsm_record(cloud, scale), rec.ortho_record(make([("T1", "dsm")], "chunk string, product string"), chunks=both),
+    ]
+    rows = records[0]
+    for r in records[1:]:
+        rows = rows.unionByName(r)
+    assert {r.stage for r in rows.collect()} == set(manifest.STAGES)
+    found = sorted((r.chunk, r.alarm) for r in decisions.alarms(rec.typed_stages(rows)).collect())
+    assert [a for c, a in found if c == "T1" and a != "empty_grid"] == []
+    assert [a for c, a in found if c == "T2"] == ["no_cloud", "no_elevation", "no_markers", "no_scalebars", "not_scaled"]
+    decisions.enforce(decisions.alarms(rec.typed_stages(rows.filter("chunk = 'T1' AND stage <> 'dsm'"))))
+
+
+def test_later_and_conflicting_decisions(spark):
+    rows = [("a", "DECIDED", "manual", 1), ("a", "DECIDED", "fallback", 2), ("b", "DECIDED", "manual", 5), ("b", "NEEDS_REVIEW", "NEEDS_REVIEW", 6)]
+    decided = spark.createDataFrame(rows, "chunk string, verdict string, chosen_arm string, ts int")
+    chunks, none = decided.select("chunk"), spark.createDataFrame([], "chunk string, override string")
+    assert sorted((r.chunk, r.mode) for r in decisions.resolve_modes(chunks, none, decided).collect()) == [("a", "fallback"), ("b", None)]
+    assert {r.mode for r in decisions.resolve_modes(chunks, none, decided.drop("ts")).collect()} == {None}
+
+
+def test_an_empty_site_fails_the_gate(spark, tmp_path):
+    from transectra.plans.intake import validate_intake
+
+    (tmp_path / "in" / "Full").mkdir(parents=True)
+    (tmp_path / "in" / "Empty").mkdir()
+    (tmp_path / "in" / "Full" / "a.tif").write_bytes(tiff(BASE))
+    gate = validate_intake(spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"), strict=True)
+    assert {r.site: (r.overall_severity, r.blocked) for r in gate.collect()}["Empty"] == ("fail", True)
+    alone = validate_intake(spark, str(tmp_path / "in" / "Empty"), str(tmp_path / "out2"), strict=True)
+    assert [(r.site, r.blocked) for r in alone.collect()] == [("Empty", True)]
+
+
+def test_unlabelled_and_unhashed_images_count(spark):
+    rows = [(None, "b", None), (None, "a", "1"), ("T1", "a", None), ("T1", None, "2")]
+    out = manifest.input_set_hashes(spark.createDataFrame(rows, "label string, name string, sha256 string"))
+    sha = lambda s: hashlib.sha256(s).hexdigest()
+    assert {r.label: (r["count"], r.aggregate_sha256) for r in out.collect()} == {None: (2, sha(b"a:1\nb:")), "T1": (2, sha(b":2\na:"))}
+    paths = spark.createDataFrame([("T1", "a", "9", "x/1"), ("T1", "a", "3", "x/2")], "label string, name string, sha256 string, path string")
+    assert manifest.input_set_hashes(paths).first().aggregate_sha256 == sha(b"a:3")
+
+
 def test_telemetry_stream_equals_batch(spark, tmp_path):
     header = "timestamp,cpu_util_pct,mem_used_MB,mem_total_MB,swap_used_MB\n"
     for host in ("h1", "h2"):
         (tmp_path / "logs" / host).mkdir(parents=True)
         rows = [f"2026/05/29 12:00:{i:02d}, {i * 3 % 101} ,{i * 100}, {6000 + i},{i % 4}\n" for i in range(30)]
         (tmp_path / "logs" / host / "cpumem_1.csv").write_text(header + "".join(rows) + "2026/05/29 12:01:00,bad,,6100,\n")
-    start_summary(telemetry_stream(spark, str(tmp_path / "logs" / "*"), "cpu"), "live", str(tmp_path / "ck")).awaitTermination()
-    live = sorted(map(tuple, spark.table("live").collect()))
+    start_summary(telemetry_stream(spark, str(tmp_path / "logs" / "*"), "cpu"), str(tmp_path / "live"), str(tmp_path / "ck")).awaitTermination()
+    live = sorted(map(tuple, read_summary(spark, str(tmp_path / "live")).collect()))
     batch = summarize(read_telemetry(spark, str(tmp_path / "logs" / "*" / "*.csv"), "cpu"))
     assert live == sorted(map(tuple, batch.collect())) and len(live) == 2
 

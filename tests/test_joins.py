@@ -7,10 +7,13 @@ from transectra.operators.image_rules import image_findings, image_verdicts
 from transectra.operators.report import worst_per_file
 
 
-@pytest.fixture(params=[0, 500_000], ids=["shuffled", "broadcast"])
-def limit(request, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", request.param)
-    return request.param
+@pytest.fixture(params=["-1", "10m"], ids=["shuffled", "broadcast"])
+def limit(request, spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, request.param)
+    yield request.param
+    spark.conf.set(key, before)
 
 
 def test_hot_group_either_way(spark, limit):

@@ -82,9 +82,7 @@ def test_listing_reads_no_content(spark, survey):
     assert "content" not in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_catalogue_reuses_known_hashes(spark, survey, monkeypatch, limit):
-    monkeypatch.setattr(images, "KNOWN_HASH_BROADCAST_ROWS", limit)
+def test_catalogue_reuses_known_hashes(spark, survey):
     known = spark.createDataFrame([("other.tif", "feed"), ("20230711_EDR_T1_C2_000197.tif", "")], "name string, sha256 string")
     rows = {r.name: r for r in images.catalogue_images(spark, str(survey), known).collect()}
     assert len(rows) == 4 and rows["other.tif"].sha256 == "feed"
@@ -128,7 +126,7 @@ def test_metadata_csv(spark, tmp_path):
         ["4", "u4", "13", "", " a.tif ", "Last", "m", "x", "c", "", "1", "2"],
     ]
     path.write_text("\n".join(",".join(row) for row in [METADATA, *lines]) + "\n")
-    rows = {r.key: r for r in tables.read_metadata_csv(spark, str(path)).collect()}
+    rows = {r.key: r for r in tables.read_metadata_csv(spark, str(path), multi_line=True).collect()}
     assert set(rows) == {"a.tif", "b.tif"}
     assert (rows["a.tif"].csv_cammake, rows["a.tif"].image_id, rows["a.tif"].csv_lon) == ("Last", 13, 2.0)
     b = rows["b.tif"]
@@ -199,12 +197,12 @@ def test_json_documents(spark, tmp_path):
     xmp = {r.name: r for r in tables.read_xmp_json(spark, [str(tmp_path / "x1.json"), str(tmp_path / "x2.json")]).collect()}
     assert xmp["x.tif"].iptc_credit == "later" and xmp["x.tif"].xmp_attribution_url is None and xmp["y.tif"].iptc_contact == "c"
     (tmp_path / "p.json").write_text(json.dumps({"schema": "s", "files": [{"name": "a", "sha256": "1"}, {"name": "b", "sha256": "2"}]}, indent=2))
-    assert sorted(map(tuple, tables.read_provenance(spark, str(tmp_path / "p.json")).collect())) == [("a", "1"), ("b", "2")]
+    assert sorted(map(tuple, tables.read_provenance(spark, str(tmp_path / "p.json"), multi_line=True).collect())) == [("a", "1"), ("b", "2")]
     assert tables.read_provenance(spark, None).count() == 0
-    (tmp_path / "d.json").write_text(json.dumps({"decision": {"verdict": "DECIDED", "chosen_arm": "manual", "rationale": "r"}}, indent=1))
-    assert tuple(tables.read_decisions(spark, str(tmp_path / "d.json")).first()) == ("DECIDED", "manual", "r")
+    (tmp_path / "d.json").write_text(json.dumps({"experiment": "e", "decision": {"verdict": "DECIDED", "chosen_arm": "manual", "rationale": "r"}}, indent=1))
+    assert tuple(tables.read_decisions(spark, str(tmp_path / "d.json"), multi_line=True).first()) == ("e", "DECIDED", "manual", "r")
     (tmp_path / "r.json").write_text(json.dumps({"chunks": [{"label": "T1", "cameras_total": 4, "cameras_aligned": 3, "has_dsm": True}]}, indent=1))
-    run = tables.read_run_manifest(spark, str(tmp_path / "r.json")).first()
+    run = tables.read_run_manifest(spark, str(tmp_path / "r.json"), multi_line=True).first()
     assert (run.label, run.cameras_aligned, run.has_dsm, run.markers) == ("T1", 3, True, None)
 
 

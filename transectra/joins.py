@@ -7,22 +7,18 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import durable
-
-BROADCAST_ROWS = 500_000
+from .session import stored
 
 
 def join_group_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Attach per-group facts (few narrow columns) to every row of the groups.
 
-    The facts are computed and checkpointed first (runs a job), then counted: up to
-    ``BROADCAST_ROWS`` groups are broadcast, so that a large table is not shuffled
-    by a key of which one value may hold a third of it. With more groups than that,
-    Spark shuffles and splits skewed partitions.
+    The facts are computed once and stored (runs a job), so Spark knows their size in
+    bytes: below ``spark.sql.autoBroadcastJoinThreshold`` they are broadcast and a large
+    table is not shuffled by a key of which one value may hold a third of it; above it
+    both sides are shuffled and skewed partitions split.
     """
-    facts = durable(facts)
-    small = facts.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(facts) if small else facts, keys, how)
+    return rows.join(stored(facts), keys, how)
 
 
 def merge_by_key(parts: list[DataFrame], key: str) -> DataFrame:

@@ -14,6 +14,10 @@ from ..profile import SurveyProfile
 from ..session import durable
 
 
+#: Entries of the lists in the findings' details; the whole lists are tables of their own.
+FIRST_GROUPS, FIRST_FIXES, FIRST_SMALL = 10, 10, 20
+
+
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """First ``n`` rows per key. Each task keeps its own first ``n`` before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -67,12 +71,17 @@ def small_files(
     return join_group_facts(sized, medians, ["site"]).filter(F.col("size_bytes") < limit)
 
 
-def transect_events(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
-    """Per site and transect (matched case kept): image count and distinct dive-event ids."""
+def transect_uuids(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
+    """Images per site, transect (matched case kept) and dive-event id; the id is null where none is given."""
     transect = filename_parts(F.col("name"), profile.filename_pattern)["transect"]
     rows = inventory.select("site", transect.alias("transect"), blank_to_null(F.col("csv_uuid")).alias("uuid"))
-    return rows.filter(F.col("transect").isNotNull()).groupBy("site", "transect").agg(
-        F.count(F.lit(1)).alias("count"), F.count_distinct("uuid").alias("uuid_count")
+    return rows.filter(F.col("transect").isNotNull()).groupBy("site", "transect", "uuid").agg(F.count(F.lit(1)).alias("images"))
+
+
+def transect_events(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
+    """Per site and transect: image count and distinct dive-event ids."""
+    return transect_uuids(inventory, profile).groupBy("site", "transect").agg(
+        F.sum("images").alias("count"), F.count("uuid").alias("uuid_count")
     )
 
 
@@ -99,12 +108,12 @@ def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()
     Scans the inventory several times, each time a few columns: pass a stored table.
     """
     dups = duplicate_groups(inventory)
-    dup_heads = _head_list(dups, "site", [F.col("first_name"), F.col("sha256")], 10,
+    dup_heads = _head_list(dups, "site", [F.col("first_name"), F.col("sha256")], FIRST_GROUPS,
                            F.struct("sha256", "files", "first_name")).withColumnRenamed("_heads", "dup_heads")
     dup_sums = dups.groupBy("site").agg(F.count(F.lit(1)).alias("dup_groups"), F.sum("files").alias("dup_files"))
 
     fixes = station_fixes(inventory, profile)
-    fix_heads = _head_list(fixes, "site", [F.col("lat"), F.col("lon")], 10,
+    fix_heads = _head_list(fixes, "site", [F.col("lat"), F.col("lon")], FIRST_FIXES,
                            F.struct("lat", "lon")).withColumnRenamed("_heads", "fix_heads")
     fix_sums = fixes.groupBy("site").agg(
         F.count(F.lit(1)).alias("fixes"), F.count_if(~F.col("inside")).alias("fixes_outside"),
@@ -113,14 +122,14 @@ def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()
 
     medians = durable(size_medians(inventory))
     small = small_files(inventory, profile, medians)
-    small_heads = _head_list(small, "site", [F.col("name")], 20,
+    small_heads = _head_list(small, "site", [F.col("name")], FIRST_SMALL,
                              F.struct("name", "size_bytes")).withColumnRenamed("_heads", "small_heads")
     small_sums = small.groupBy("site").agg(F.count(F.lit(1)).alias("small_files"))
 
     events = transect_events(inventory, profile)
-    event_heads = _head_list(events, "site", [F.col("transect")], 50,
-                             F.struct("transect", "count", "uuid_count")).withColumnRenamed("_heads", "transects")
+    # Whole: one entry per transect token of a site, of which the file name pattern allows few.
     event_sums = events.groupBy("site").agg(
+        F.sort_array(F.collect_list(F.struct("transect", "count", "uuid_count"))).alias("transects"),
         F.count(F.lit(1)).alias("n_transects"),
         F.sum("count").alias("named"),
         F.sum("uuid_count").alias("uuid_entries"),
@@ -128,7 +137,7 @@ def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()
     )
 
     parts = [_site_counts(inventory), _cameras(inventory), dup_sums, dup_heads, fix_sums, fix_heads, medians, small_sums,
-             small_heads, event_sums, event_heads]
+             small_heads, event_sums]
     if expected_sites is not None:
         parts.append(expected_sites.select("site").distinct())
     out = merge_by_key(parts, "site")
@@ -171,12 +180,13 @@ def dataset_findings(
         "csv_coverage": (
             F.when(c("n") == 0, "unverified").when(c("matched") == c("n"), "ok")
             .when(pct >= profile.coverage_warn_pct, "warn").otherwise("fail"),
-            details(matched=c("matched"), total=c("n")),
+            details(matched=c("matched"), total=c("n"), pct=pct),
         ),
         "subsite_cross_reference": (
             F.when(c("n_transects") == 0, "unverified").when(c("uuid_entries") == 0, "unverified")
             .when(c("multi_event_transects") > 0, "fail").otherwise("ok"),
             details(transects=c("transects"), multi_event_transects=c("multi_event_transects"),
+                    offending=F.transform(F.filter("transects", lambda t: t["uuid_count"] > 1), lambda t: t["transect"]),
                     no_filename_match_count=c("n") - c("named")),
         ),
     }

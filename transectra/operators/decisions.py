@@ -51,10 +51,19 @@ def decide_arm(arms: DataFrame, profile: ReconstructionProfile = _DEFAULTS) -> D
 
 
 def resolve_modes(chunks: DataFrame, overrides: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Mode per chunk: operator override, else a decided valid arm, else refused."""
+    """Mode per chunk: operator override, else a decided valid arm, else refused.
+
+    A chunk's latest decision counts if ``decisions`` has a ``ts``; without one, decisions
+    that differ are refused.
+    """
     decided = F.when((F.col("verdict") == "DECIDED") & F.col("chosen_arm").isin("fallback", "manual"), F.col("chosen_arm"))
     o = overrides.groupBy("chunk").agg(F.max("override").alias("override"))
-    d = decisions.groupBy("chunk").agg(F.max("verdict").alias("verdict"), F.max("chosen_arm").alias("chosen_arm"))
+    row = F.struct("verdict", "chosen_arm")
+    if "ts" in decisions.columns:
+        said = F.max_by(row, "ts")
+    else:
+        said = F.when(F.min(row) == F.max(row), F.max(row))
+    d = decisions.groupBy("chunk").agg(said.alias("d")).select("chunk", "d.*")
     joined = chunks.select("chunk").distinct().join(o, "chunk", "left").join(d, "chunk", "left")
     mode = F.coalesce(F.nullif("override", F.lit("")), decided)
     return joined.select("chunk", mode.alias("mode")).withColumn(

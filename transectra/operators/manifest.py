@@ -17,14 +17,15 @@ STAGES = ("import", "step4", "align", "markers", "reduce", "dense", "filter", "d
 
 def _chain_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Running SHA-256 per label over rows sorted by label and name; holds one batch at a time."""
-    label, digest, count = None, None, 0
+    label, digest, count = object(), None, 0
     for batch in batches:
-        for key, rows in batch.groupby("label", sort=False):
+        for key, rows in batch.groupby("label", sort=False, dropna=False):
+            key = None if pd.isna(key) else key
             if key != label:
                 if digest is not None:
                     yield pd.DataFrame({"label": [label], "count": [count], "aggregate_sha256": [digest.hexdigest()]})
                 label, digest, count = key, hashlib.sha256(), 0
-            lines = "\n".join(rows["name"] + ":" + rows["sha256"])
+            lines = "\n".join(rows["name"].fillna("") + ":" + rows["sha256"].fillna(""))
             digest.update((("\n" if count else "") + lines).encode())
             count += len(rows)
     if digest is not None:
@@ -36,9 +37,12 @@ def input_set_hashes(images: DataFrame) -> DataFrame:
 
     The hash is a chain over the sorted lines, so a transect is read in order by
     one task; the task streams them and keeps a batch, not the transect. Only
-    names and hashes travel, never pixels.
+    names and hashes travel, never pixels. Images without a label are a set of their
+    own under a null label; a missing hash or name is an empty text in its line. Of a
+    name met twice the last by ``path`` counts, without that column the greatest hash.
     """
-    lines = images.groupBy("label", "name").agg(F.max("sha256").alias("sha256"))
+    last = F.max_by("sha256", "path") if "path" in images.columns else F.max("sha256")
+    lines = images.groupBy("label", "name").agg(last.alias("sha256"))
     ordered = lines.select("label", "name", "sha256").repartition("label").sortWithinPartitions("label", "name")
     return ordered.mapInPandas(_chain_hashes, "label string, count bigint, aggregate_sha256 string")
 

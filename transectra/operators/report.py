@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.classify import SEVERITIES
+from ..functions.classify import SEVERITIES, SEVERITY_RANK
 from ..joins import merge_by_key
 from ..profile import SurveyProfile
 from .image_rules import image_verdicts
@@ -15,11 +15,6 @@ def all_findings(dataset: DataFrame, images: DataFrame) -> DataFrame:
     return dataset.unionByName(images)
 
 
-def _worst(order: list[str]) -> Column:
-    """Severity of the highest rank; among equals the first by ``order``."""
-    return F.min_by("severity", F.struct((-F.col("rank")).alias("r"), *order))
-
-
 def rollup(findings: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Counts per rule, one column per severity, zero-filled."""
     return findings.groupBy(*keys, "code").agg(
@@ -28,10 +23,31 @@ def rollup(findings: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 
 def overall_severity(findings: DataFrame, keys: list[str] = ("site",)) -> DataFrame:
-    """Worst severity; dataset findings come first, then images by name and rule order."""
-    first = F.when(F.col("scope_kind") == "dataset", 0).otherwise(1)
-    ordered = findings.withColumn("_first", first)
-    return ordered.groupBy(*keys).agg(_worst(["_first", "scope", "pos"]).alias("overall_severity"))
+    """Worst severity; dataset findings come first, then images by name and rule order.
+
+    The highest rank is a hash aggregation. Only severities of equal rank need the first
+    one met; of their rows each task keeps one per group before the shuffle.
+    """
+    keys = list(keys)
+    by_rank = {}
+    for s, r in SEVERITY_RANK.items():
+        by_rank.setdefault(r, []).append(s)
+    shared = [r for r, names in by_rank.items() if len(names) > 1]
+    worst = findings.groupBy(*keys).agg(F.max("rank").alias("_rank"))
+    order = [F.when(F.col("scope_kind") == "dataset", 0).otherwise(1), F.col("scope"), F.col("pos")]
+    w = Window.partitionBy(*keys, "rank").orderBy(*order)
+    met = (
+        findings.filter(F.col("rank").isin(*shared)).withColumn("_n", F.row_number().over(w)).filter("_n = 1")
+        .select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("rank").alias("_met"), "severity")
+    )
+    same = F.col("_rank") == F.col("_met")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    severity = F.col("severity")
+    for r, names in by_rank.items():
+        if len(names) == 1:
+            severity = F.when(F.col("_rank") == r, names[0]).otherwise(severity)
+    return worst.join(met, same, "left").select(*keys, severity.alias("overall_severity"))
 
 
 def worst_per_file(findings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import __version__
 from ..operators.acquisition import coverage_counts, manifest_coverage
-from ..operators.dataset_rules import dataset_findings
+from ..operators.dataset_rules import dataset_findings, transect_uuids
 from ..operators.image_rules import image_findings
 from ..operators.inventory import assemble_inventory
 from ..operators.report import all_findings, files_with, report_headers, strict_gate
@@ -23,6 +23,14 @@ def judge(
     return dataset_findings(inventory, profile, expected_sites), image_findings(inventory, profile)
 
 
+def site_folders(spark: SparkSession, site_dir: str) -> DataFrame:
+    """Names of the folders that a path or glob stands for, one row each; lists folders only, on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(site_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = sorted({f.getPath().getName() for f in found if f.isDirectory()})
+    return spark.createDataFrame([(n,) for n in names], "site string")
+
+
 def validate_intake(
     spark: SparkSession,
     site_dir: str,
@@ -34,17 +42,23 @@ def validate_intake(
     manifest: DataFrame | None = None,
     profile: SurveyProfile = SurveyProfile(),
     strict: bool = False,
+    expected_sites: DataFrame | None = None,
     context: dict[str, str] | None = None,
 ) -> DataFrame:
     """Catalogue a folder (or a glob of site folders), write all artefacts, return the gate per site.
 
     Inventory and findings are written once and read back: rules, report and gate then
     scan narrow Parquet columns, and a lost executor never causes images to be read again.
+    ``expected_sites`` (site) defaults to the folders that ``site_dir`` names, so a folder
+    without any image fails instead of being passed over.
     """
+    if expected_sites is None:
+        expected_sites = site_folders(spark, site_dir)
     files = catalogue_images(spark, site_dir, known_hashes, profile)
     write_inventory(assemble_inventory(files, records, xmp), out_dir)
     inventory = spark.read.parquet(f"{out_dir}/inventory")
-    dataset, images = judge(inventory, profile)
+    dataset, images = judge(inventory, profile, expected_sites)
+    transect_uuids(inventory, profile).write.mode("overwrite").parquet(f"{out_dir}/transect_uuids")
     all_findings(dataset, images).write.mode("overwrite").parquet(f"{out_dir}/findings")
     stored = spark.read.parquet(f"{out_dir}/findings")
     dataset, images = (stored.filter(F.col("scope_kind") == kind) for kind in ("dataset", "image"))

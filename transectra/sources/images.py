@@ -9,8 +9,6 @@ from ..functions.text import basename, blank_to_null, has_extension, transect_to
 from ..profile import SurveyProfile
 from .tiff import with_tags
 
-KNOWN_HASH_BROADCAST_ROWS = 1_000_000
-
 
 def _scan(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
     return (
@@ -48,27 +46,17 @@ def catalogue_images(
 ) -> DataFrame:
     """One row per image under ``root``: identity, size, tags, SHA-256, read errors.
 
-    Each file is read once. A hash known from earlier provenance (name, sha256) is
-    reused instead of computed; known rows are joined beside the scan so that file
-    contents are never shuffled. That needs a small known table: above
-    ``KNOWN_HASH_BROADCAST_ROWS`` all hashes are computed and known ones joined after.
+    Each file is read once, for its tags, and hashed while its bytes are there. A hash
+    known from earlier provenance (name, sha256) takes the place of the computed one;
+    known rows are joined after the contents are gone, so no file content is ever
+    shuffled, however many hashes are known.
     """
     files = _scan(spark, root, recursive=False).filter(has_extension(F.col("path"), profile.image_extensions))
     files = files.withColumns({"name": _file_columns()[0], "relpath": _file_columns()[1]})
-    computed = F.sha2("content", 256)
-    known_small = False
+    tagged = with_tags(files.withColumn("sha256", F.sha2("content", 256))).withColumnRenamed("length", "size_bytes").drop("content")
     if known_hashes is not None:
         known = known_hashes.groupBy("name").agg(F.max("sha256").alias("_known"))
-        known_small = known.limit(KNOWN_HASH_BROADCAST_ROWS + 1).count() <= KNOWN_HASH_BROADCAST_ROWS
-        if known_small:
-            files = files.join(F.broadcast(known), "name", "left")
-            computed = F.coalesce(blank_to_null(F.col("_known")), computed)
-    tagged = with_tags(files.withColumn("sha256", computed)).withColumnRenamed("length", "size_bytes")
-    if known_hashes is not None and not known_small:
-        tagged = (
-            tagged.drop("content").join(known, "name", "left")
-            .withColumn("sha256", F.coalesce(blank_to_null(F.col("_known")), F.col("sha256")))
-        )
+        tagged = tagged.join(known, "name", "left").withColumn("sha256", F.coalesce(blank_to_null(F.col("_known")), F.col("sha256")))
     site_col = site if site is not None else F.element_at(F.split("path", "/"), -2)
     return tagged.withColumn("site", site_col).drop("content", "_known", "modificationTime", "path")
 

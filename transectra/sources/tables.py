@@ -24,11 +24,11 @@ XMP_FIELDS = {
 }
 
 
-def read_csv_text(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_csv_text(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column text, cells unchanged.
 
-    ``multi_line`` accepts line breaks inside quotes at the price of one task per
-    file; turn it off for large exports known to have none.
+    Files are split among tasks. ``multi_line`` accepts line breaks inside quotes at the
+    price of one task per file; turn it on for exports known to have some.
     """
     return spark.read.csv(
         path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"',
@@ -84,7 +84,7 @@ def metadata_records(raw: DataFrame, pos: str = "pos") -> DataFrame:
     return last_row_per_key(rows, "key", pos)
 
 
-def read_metadata_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_metadata_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     raw = require_columns(read_csv_text(spark, path, multi_line), METADATA_COLUMNS, "metadata export")
     return metadata_records(raw.withColumn("pos", line_order()).select(*METADATA_COLUMNS, "pos"))
 
@@ -106,7 +106,7 @@ def manifest_records(raw: DataFrame, pos: str | None = None) -> DataFrame:
     )
 
 
-def read_manifest_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_manifest_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     raw = require_columns(read_csv_text(spark, path, multi_line), ("url",), "manifest")
     return manifest_records(raw.withColumn("pos", line_order()), "pos")
 
@@ -120,7 +120,7 @@ def image_list_to_manifest(raw: DataFrame, site_code: str) -> DataFrame:
     )
 
 
-def read_image_list(spark: SparkSession, path, site_code: str, multi_line: bool = True) -> DataFrame:
+def read_image_list(spark: SparkSession, path, site_code: str, multi_line: bool = False) -> DataFrame:
     return image_list_to_manifest(read_csv_text(spark, path, multi_line), site_code)
 
 
@@ -172,18 +172,18 @@ PROVENANCE_SCHEMA = (
 )
 
 
-def read_provenance(spark: SparkSession, path: str | None) -> DataFrame:
-    """(name, sha256) from provenance envelopes; no file means no rows."""
+def read_provenance(spark: SparkSession, path: str | None, multi_line: bool = False) -> DataFrame:
+    """(name, sha256) from provenance envelopes, one per line or per file; no file means no rows."""
     if path is None:
         return spark.createDataFrame([], "name string, sha256 string")
-    docs = spark.read.schema(PROVENANCE_SCHEMA).json(path, multiLine=True)
+    docs = spark.read.schema(PROVENANCE_SCHEMA).json(path, multiLine=multi_line)
     return docs.select(F.explode("files").alias("f")).select("f.name", "f.sha256")
 
 
-def read_decisions(spark: SparkSession, path) -> DataFrame:
-    """Decision artefacts: verdict, chosen_arm, rationale."""
-    schema = "decision struct<verdict: string, chosen_arm: string, rationale: string>"
-    return spark.read.schema(schema).json(path, multiLine=True).select("decision.*")
+def read_decisions(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+    """Decision artefacts: experiment, verdict, chosen_arm, rationale. One document per line, or per file if ``multi_line``."""
+    schema = "experiment string, decision struct<verdict: string, chosen_arm: string, rationale: string>"
+    return spark.read.schema(schema).json(path, multiLine=multi_line).select("experiment", "decision.*")
 
 
 RUN_CHUNK_SCHEMA = (
@@ -193,16 +193,21 @@ RUN_CHUNK_SCHEMA = (
 )
 
 
-def read_run_manifest(spark: SparkSession, path) -> DataFrame:
-    """One row per chunk of the run manifests found at ``path``."""
+def read_run_manifest(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
+    """One row per chunk of the run manifests found at ``path``, one per line or per file."""
     fields = RUN_CHUNK_SCHEMA.replace(" bigint", ": bigint").replace(" string", ": string")
     fields = fields.replace(" double", ": double").replace(" boolean", ": boolean")
-    docs = spark.read.schema(f"chunks array<struct<{fields}>>").json(path, multiLine=True)
+    docs = spark.read.schema(f"chunks array<struct<{fields}>>").json(path, multiLine=multi_line)
     return docs.select(F.explode("chunks").alias("c")).select("c.*")
 
 
-def read_points(spark: SparkSession, path, fmt: str = "parquet") -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True) if fmt == "csv" else spark.read.format(fmt).load(path)
+# Columns of a point cloud as text; pass another schema for clouds with more or fewer.
+POINT_SCHEMA = "x double, y double, z double, confidence smallint, cls string"
+
+
+def read_points(spark: SparkSession, path, fmt: str = "parquet", schema: str = POINT_SCHEMA) -> DataFrame:
+    """Points of a cloud; text has no types of its own, so it is read by ``schema`` in one pass."""
+    return spark.read.csv(path, header=True, schema=schema) if fmt == "csv" else spark.read.format(fmt).load(path)
 
 
 def has_attribute(points: DataFrame, column: str = "confidence") -> bool:

@@ -21,16 +21,18 @@ def catalogue_batch(files: DataFrame, profile: SurveyProfile = SurveyProfile())
 
 
 def start_intake(
-    spark: SparkSession, folder: str, out: str, checkpoint: str, profile: SurveyProfile = SurveyProfile()
+    spark: SparkSession, folder: str, out: str, checkpoint: str, profile: SurveyProfile = SurveyProfile(),
+    files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Append catalogue rows for files that appeared since the last run.
+    """Append catalogue rows for files that appeared since the last run, ``files_per_batch`` at a time.
 
     Each micro-batch overwrites its own folder, so a retried batch leaves no
     duplicates. The stream's checkpoint remembers which files were done.
     """
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = (
-        spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*").load(folder)
+        spark.readStream.schema(schema).format("binaryFile").option("pathGlobFilter", "*.[tT][iI][fF]*")
+        .option("maxFilesPerTrigger", files_per_batch).load(folder)
     )
 
     def append(batch: DataFrame, batch_id: int) -> None:

@@ -19,9 +19,24 @@ def telemetry_stream(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return numeric_samples(raw, kind)
 
 
-def start_summary(samples: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep one running row per host; state grows with hosts, not with samples."""
+def start_summary(samples: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep one running row per host; state grows with hosts, not with samples.
+
+    Each batch writes the rows as they then are to its own folder below ``out``, from the
+    executors, so a retried batch replaces its folder; :func:`read_summary` reads the last.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     return (
-        summarize(samples).writeStream.outputMode("complete").format("memory").queryName(name)
+        summarize(samples).writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def read_summary(spark: SparkSession, out: str) -> DataFrame:
+    """Rows of the last batch that :func:`start_summary` wrote."""
+    rows = spark.read.parquet(out)
+    last = rows.agg(F.max("batch").alias("b")).first()["b"]
+    return rows.filter(F.col("batch") == last).drop("batch")

@@ -8,7 +8,7 @@ from ..functions import classify, geo, text
 from ..operators import dataset_rules, decisions, image_rules, inventory, layout, manifest, report, statistics
 from ..sources.images import known_bad, label_by_name, with_known_bad
 from ..sources.tables import metadata_records, xmp_records
-from ..session import durable
+from ..session import stored as store
 from .registry import query
 from .views import PROFILE as P
 from .views import ctes, duck_text
@@ -27,7 +27,7 @@ def build(v):
 
 def stored(v):
     """The inventory computed once, for queries that scan it several times."""
-    return durable(build(v))
+    return store(build(v))
 
 
 _cell = lambda c: f"nullif(trim(CASE WHEN {c} IN ('', 'NaN', 'n/a') THEN '' ELSE {c} END), '')"
@@ -252,6 +252,12 @@ def csv_coverage(v):
     return t.withColumn("pct", F.lit(100.0) * F.col("matched") / F.col("n"))
 
 
+@query("transect_uuids", f"""WITH {DS} SELECT site, regexp_extract(name, '{_RX}', 3, 'i') AS transect, nullif(csv_uuid, '') AS uuid, count(*) AS images
+  FROM inv WHERE regexp_matches(name, '{_RX}', 'i') GROUP BY 1, 2, 3""")
+def transect_uuids(v):
+    return dataset_rules.transect_uuids(build(v), P)
+
+
 @query("transect_events", f'WITH {DS} SELECT site, transect, "count", uuid_count FROM tr')
 def transect_events(v):
     return dataset_rules.transect_events(build(v), P)
@@ -395,11 +401,10 @@ def contact_sheet_layout(v):
 
 
 @query("input_set_hashes", f"""WITH {ctes('files')}, h AS (SELECT upper(nullif(regexp_extract(name, '{P.transect_token_pattern}', 1, 'i'), '')) AS label, name,
-  coalesce(sha256, '-') AS sha FROM v_files) SELECT label, count(*) AS count, sha256(string_agg(name || ':' || sha, chr(10) ORDER BY name)) AS aggregate_sha256
-  FROM h WHERE label IS NOT NULL GROUP BY label""")
+  coalesce(sha256, '') AS sha FROM v_files) SELECT label, count(*) AS count, sha256(string_agg(name || ':' || sha, chr(10) ORDER BY name)) AS aggregate_sha256
+  FROM h GROUP BY label""")
 def input_set_hashes(v):
-    rows = label_by_name(v("files"), P).filter(F.col("label").isNotNull())
-    return manifest.input_set_hashes(rows.select("label", "name", F.coalesce("sha256", F.lit("-")).alias("sha256")))
+    return manifest.input_set_hashes(label_by_name(v("files"), P).select("label", "name", "sha256"))
 
 
 @query("preflight_failures", f"""WITH {ctes('files')} SELECT name, read_error AS reason, contains(name, '{P.known_bad_files[0]}') OR contains(name, '{P.known_bad_files[1]}') AS known_bad

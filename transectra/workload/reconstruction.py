@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import decisions, manifest, quality, telemetry
+from ..plans import reconstruction as records_of
 from ..profile import ReconstructionProfile
 from ..session import shared_folder
 from ..sinks.artefacts import merge_extents
 from ..sources.telemetry import numeric_samples
-from ..streaming.telemetry import start_summary
+from ..streaming.telemetry import read_summary, start_summary
 from .registry import query
 from .views import VIEWS, ctes, spark_text, tables_of
 
@@ -96,6 +97,21 @@ def resolved_modes(v):
     return decisions.resolve_modes(chunks, chunks, decided)
 
 
+# Decisions over time: a customer's latest order decides.
+LATE = """SELECT o_custkey AS chunk, arg_max(CASE o_orderstatus WHEN 'F' THEN 'fallback' WHEN 'P' THEN 'manual' ELSE 'NEEDS_REVIEW' END, o_orderkey) AS arm
+  FROM orders GROUP BY o_custkey"""
+
+
+@query("resolved_modes_latest", f"""WITH d AS ({LATE}), m AS (SELECT c_custkey AS chunk, CASE WHEN arm <> 'NEEDS_REVIEW' THEN arm END AS mode
+  FROM customer LEFT JOIN d ON c_custkey = d.chunk) SELECT chunk, mode, CASE WHEN mode IS NULL THEN 'refused' ELSE 'resolved' END AS status FROM m""")
+def resolved_modes_latest(v):
+    arm = F.when(F.col("o_orderstatus") == "F", "fallback").when(F.col("o_orderstatus") == "P", "manual").otherwise("NEEDS_REVIEW")
+    decided = v.table("orders").select(F.col("o_custkey").alias("chunk"), F.col("o_orderkey").alias("ts"), arm.alias("chosen_arm"))
+    decided = decided.withColumn("verdict", F.when(F.col("chosen_arm") == "NEEDS_REVIEW", "NEEDS_REVIEW").otherwise("DECIDED"))
+    chunks = v.table("customer").select(F.col("c_custkey").alias("chunk"))
+    return decisions.resolve_modes(chunks, chunks.withColumn("override", F.lit(None).cast("string")), decided)
+
+
 _RULES = [
     ("too_many_disabled", "true", "stage = 'step4' AND disabled > 200"), ("low_alignment", "true", "stage = 'align' AND alignment_rate < 0.7"),
     ("no_markers", "false", "stage = 'markers' AND markers_detected = 0"), ("no_scalebars", "true", "stage = 'reduce' AND scalebars_present = 0"),
@@ -111,6 +127,31 @@ def stage_alarms(v):
     return decisions.alarms(v("stage_facts"), R)
 
 
+@query("stage_record_alarms", f"""WITH {ctes('cameras', 'markers', 'scalebars', 'cloud', 'products')}, cam AS (SELECT *, TRY_CAST(trim(quality_raw) AS DOUBLE) AS q FROM v_cameras),
+  ch AS (SELECT DISTINCT chunk FROM v_markers), mk AS (SELECT chunk, count(x) AS n FROM v_markers GROUP BY chunk)
+  SELECT chunk, 'step4' AS stage, 'too_many_disabled' AS alarm, true AS critical FROM cam GROUP BY chunk HAVING count(*) FILTER (WHERE q < 0.5) > 200
+  UNION ALL SELECT chunk, 'align', 'low_alignment', true FROM cam GROUP BY chunk
+    HAVING coalesce(count(*) FILTER (WHERE aligned) / CAST(nullif(count(*) FILTER (WHERE enabled), 0) AS DOUBLE), 0) < 0.7
+  UNION ALL SELECT chunk, 'markers', 'no_markers', false FROM mk WHERE n = 0
+  UNION ALL SELECT chunk, 'reduce', 'no_scalebars', true FROM ch WHERE chunk NOT IN (SELECT chunk FROM v_scalebars)
+  UNION ALL SELECT chunk, 'filter', 'no_cloud', true FROM ch
+  UNION ALL SELECT chunk, 'ortho', 'no_elevation', true FROM v_products GROUP BY chunk""")
+def stage_record_alarms(v):
+    """Alarms from records computed on tables; a chunk with a cloud raises none for it, one without does."""
+    chunks = v("markers").select("chunk").distinct()
+    clouds = v("cloud").select("chunk").distinct()
+    records = [
+        records_of.import_record(v("cameras")), records_of.step4_record(v("cameras"), R), records_of.align_record(v("cameras")),
+        records_of.markers_record(v("markers")), records_of.reduce_record(v("scalebars"), chunks),
+        records_of.dense_record(clouds.withColumn("transform_scale", F.lit(1.5)), v("cloud")),
+        records_of.filter_record(v("cloud"), R, chunks.unionByName(clouds)), records_of.ortho_record(v("products")),
+    ]
+    rows = records[0]
+    for r in records[1:]:
+        rows = rows.unionByName(r)
+    return decisions.alarms(records_of.typed_stages(rows), R)
+
+
 @query("stage_columns", f"WITH {ctes('stage_stats')} SELECT chunk, " + ", ".join(
     f"arg_max(payload, ts) FILTER (WHERE stage = '{s}') AS stage_{s}" for s in manifest.STAGES) + " FROM v_stage_stats GROUP BY chunk")
 def stage_columns(v):
@@ -137,11 +178,15 @@ def observed_quality(v):
     return manifest.observe_quality(v("chunk_facts"), R)
 
 
-@query("run_manifest_chunks", f"""WITH {ctes('chunk_facts', 'stage_stats')} SELECT f.chunk, f.cameras_total, f.markers,
-  arg_max(s.payload, s.ts) FILTER (WHERE s.stage = 'align') AS stage_align FROM v_chunk_facts AS f LEFT JOIN v_stage_stats AS s ON f.chunk = s.chunk GROUP BY ALL""")
+@query("run_manifest_chunks", f"""WITH {ctes('chunk_facts', 'stage_stats', 'chunk_products')}, p AS (SELECT chunk, count(*) AS n_products,
+  max(bytes) FILTER (WHERE product = 'AF') AS af_bytes, max(path) FILTER (WHERE product = 'NO') AS no_path FROM v_chunk_products GROUP BY chunk),
+  m AS (SELECT f.chunk, f.cameras_total, f.markers, arg_max(s.payload, s.ts) FILTER (WHERE s.stage = 'align') AS stage_align
+  FROM v_chunk_facts AS f LEFT JOIN v_stage_stats AS s ON f.chunk = s.chunk GROUP BY ALL) SELECT m.*, p.n_products, p.af_bytes, p.no_path FROM m LEFT JOIN p ON m.chunk = p.chunk""")
 def run_manifest_chunks(v):
-    products = v("products").withColumn("bytes", F.lit(None).cast("bigint"))
-    return manifest.run_chunks(v("chunk_facts"), v("stage_stats"), products).select("chunk", "cameras_total", "markers", "stage_align")
+    rows = manifest.run_chunks(v("chunk_facts"), v("stage_stats"), v("chunk_products"))
+    products = F.col("products")
+    return rows.select("chunk", "cameras_total", "markers", "stage_align", F.size("products").cast("bigint").alias("n_products"),
+                       products["AF"]["bytes"].alias("af_bytes"), products["NO"]["path"].alias("no_path"))
 
 
 _PROD = f"WITH {ctes('products', 'product_files')}, ck AS (SELECT p.*, f.length, coalesce(f.length > 1024, false) AS ok FROM v_products AS p LEFT JOIN v_product_files AS f ON p.path = f.path)"
@@ -158,10 +203,10 @@ def integrity_verdict(v):
 
 
 @query("extent_snapshots", """SELECT l_linestatus AS chunk, arg_max(l_quantity, l_orderkey * 8 + l_linenumber + l_quantity / 100) FILTER (WHERE l_returnflag = 'A') AS pre_size,
-  arg_max(l_quantity, l_orderkey * 8 + l_linenumber + l_quantity / 100) FILTER (WHERE l_returnflag = 'N') AS post_size FROM lineitem GROUP BY 1""")
+  arg_max(l_quantity, l_orderkey * 8 + l_linenumber + l_quantity / 100) FILTER (WHERE l_returnflag <> 'A') AS post_size FROM lineitem GROUP BY 1""")
 def extent_snapshots(v):
     rows = v.table("lineitem").select(
-        F.col("l_linestatus").alias("chunk"), F.when(F.col("l_returnflag") == "A", "pre").when(F.col("l_returnflag") == "N", "post").alias("snapshot"),
+        F.col("l_linestatus").alias("chunk"), F.when(F.col("l_returnflag") == "A", "pre").otherwise("post").alias("snapshot"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber") + F.col("l_quantity") / 100).alias("ts"), F.col("l_quantity").alias("size_x"),
     )
     return merge_extents(rows).select("chunk", F.col("pre.size_x").alias("pre_size"), F.col("post.size_x").alias("post_size"))
@@ -197,6 +242,6 @@ def streamed_cpu_summary(v):
     text = VIEWS["telemetry"]
     assert tables_of(text) == {"events"}
     raw = v.spark.sql(spark_text(text), events=events)
-    name = f"telemetry_{uuid.uuid4().hex}"
-    start_summary(samples(raw, "cpu"), name, f"{shared_folder(v.spark)}/{name}").awaitTermination()
-    return v.spark.table(name)
+    folder = f"{shared_folder(v.spark)}/telemetry-{uuid.uuid4().hex}"
+    start_summary(samples(raw, "cpu"), f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return read_summary(v.spark, f"{folder}/rows")

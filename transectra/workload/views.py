@@ -3,7 +3,7 @@
 Each view is one SQL text that both engines run over whole tables; every source
 row becomes a row. Odd values (nulls, blanks, bad text, off-convention names) are
 spread over the rows by arithmetic on their ids. Engine differences are confined
-to the ``SHA`` and ``ITEM`` tokens.
+to the ``SHA`` and ``THIRD`` tokens.
 """
 
 from __future__ import annotations
@@ -133,10 +133,10 @@ FROM {events}
 """
 
 VIEWS["arms"] = """
-SELECT o_custkey AS experiment, CASE o_orderstatus WHEN 'F' THEN 'fallback' WHEN 'P' THEN 'manual' ELSE 'other' END AS arm,
+SELECT o_custkey AS experiment, CASE WHEN o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'fallback' ELSE 'manual' END AS arm,
   CASE WHEN max(o_totalprice) > 450000 THEN NULL ELSE max(o_totalprice) / 1000000 END AS rms,
   CAST(100 - count(*) AS DOUBLE) AS aligned_pct
-FROM {orders} GROUP BY o_custkey, o_orderstatus
+FROM {orders} GROUP BY 1, 2
 """
 
 VIEWS["cloud"] = """
@@ -166,7 +166,7 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
 _axis = lambda i: (
-    f"CASE WHEN vec_id % 17 = 0 THEN NULL WHEN vec_id % 19 = 0 THEN CAST('0.5' AS DOUBLE) ELSE CAST(ITEM({i}) AS DOUBLE) END"
+    f"CASE WHEN vec_id % 17 = 0 THEN NULL WHEN vec_id % 19 = 0 THEN CAST('0.5' AS DOUBLE) ELSE CAST(THIRD({i}) AS DOUBLE) END"
 )
 VIEWS["markers"] = f"""
 SELECT 'c' || CAST(label AS STRING) AS chunk, vec_id AS pos, printf('target %06d', vec_id) AS label,
@@ -222,9 +222,15 @@ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partke
 GROUP BY s_suppkey, p_name
 """
 VIEWS["product_files"] = """
-SELECT CAST(l_suppkey AS STRING) || '/' || p_name AS path, CAST(max(l_quantity) * 22 AS BIGINT) AS length
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE l_returnflag <> 'N'
-GROUP BY l_suppkey, p_name
+SELECT CASE WHEN l_returnflag = 'N' THEN 'draft/' ELSE '' END || CAST(l_suppkey AS STRING) || '/' || p_name AS path,
+  CAST(max(l_quantity) * 22 AS BIGINT) AS length
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
+GROUP BY 1
+"""
+VIEWS["chunk_products"] = """
+SELECT o_orderpriority || CAST(o_custkey % 7 AS STRING) AS chunk, l_returnflag || l_linestatus AS product,
+  o_orderpriority || CAST(o_custkey % 7 AS STRING) || '/' || l_returnflag || l_linestatus AS path, CAST(sum(l_quantity) AS BIGINT) AS bytes
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3
 """
 
 
@@ -232,12 +238,23 @@ def tables_of(text: str) -> set[str]:
     return set(re.findall(r"(?<!\{)\{(\w+)\}", text))
 
 
+# Three coordinates that all 64 values of a vector take part in: the greatest of each third.
+def _spark_third(m: re.Match) -> str:
+    i = int(m[1])
+    return f"array_max(slice(embedding, {22 * i - 21}, {20 if i == 3 else 22}))"
+
+
+def _duck_third(m: re.Match) -> str:
+    i = int(m[1])
+    return f"list_max(embedding[{22 * i - 21}:{64 if i == 3 else 22 * i}])"
+
+
 def spark_text(text: str) -> str:
-    return re.sub(r"SHA\(([\w.]+)\)", r"sha2(\1, 256)", re.sub(r"ITEM\((\d)\)", r"element_at(embedding, \1)", text))
+    return re.sub(r"SHA\(([\w.]+)\)", r"sha2(\1, 256)", re.sub(r"THIRD\((\d)\)", _spark_third, text))
 
 
 def duck_text(text: str) -> str:
-    text = re.sub(r"SHA\(([\w.]+)\)", r"sha256(\1)", re.sub(r"ITEM\((\d)\)", r"embedding[\1]", text))
+    text = re.sub(r"SHA\(([\w.]+)\)", r"sha256(\1)", re.sub(r"THIRD\((\d)\)", _duck_third, text))
     return text.format(**{t: t for t in tables_of(text)})
 
 
