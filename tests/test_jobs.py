@@ -42,7 +42,8 @@ def test_validate_intake(spark, site, tmp_path, profile):
     out = str(tmp_path / "out")
     p = profile.replace(file_count_min=5, file_count_max=20, artist="a", copyright="c")
     m = spark.createDataFrame([("20230711_EDR_T1_C2_000000.tif",), ("gone.tif",)], "name string")
-    gate = validate_intake(spark, str(site), out, "10.1/x", tables.read_metadata_csv(spark, str(tmp_path / "meta.csv")), manifest=m, profile=p, strict=True)
+    gate = validate_intake(spark, str(site), out, "10.1/x", tables.read_metadata_csv(spark, str(tmp_path / "meta.csv")), manifest=m, profile=p, strict=True,
+                           ids_csv_path=str(tmp_path / "meta.csv"))
     assert [tuple(r) for r in gate.collect()] == [("SiteA", "fail", True)]
     report = read_json(spark, f"{out}/qc_report")[0]
     assert report["image_count"] == 13 and report["csv_join_count"] == 12 and report["failed_file_count"] == 1 and report["package_version"]
@@ -50,7 +51,11 @@ def test_validate_intake(spark, site, tmp_path, profile):
     assert report["per_image_findings_rollup"]["read_errors"] == {"ok": 0, "warn": 0, "fail": 1, "unverified": 0}
     assert report["per_image_findings_rollup"]["iptc_credit"]["warn"] == 12
     assert report["metadata_lineage"]["csv_primary_fields"][0] == "cammake"
-    assert read_json(spark, f"{out}/manifest_check") == [{"expected": 2, "on_disk": 13, "missing": 1, "unexpected": 12}]
+    check = report["extra_context"]["manifest_check"]
+    assert {k: check[k] for k in ("expected", "on_disk", "missing", "unexpected")} == {"expected": 2, "on_disk": 13, "missing": 1, "unexpected": 12}
+    assert check["first_missing"] == ["gone.tif"] and len(check["first_unexpected"]) == 12
+    assert report["hostname"] and report["ids_csv_path"] == str(tmp_path / "meta.csv")
+    assert spark.read.parquet(f"{out}/transect_uuids").agg({"images": "sum"}).first()[0] == 13
     assert [r["scope"] for r in read_json(spark, f"{out}/files_with_failures")] == ["20230711_EDR_T1_C2_000099.tif"]
     # xmp_attribution_url is unverified before iptc_credit warns: no file counts as warned
     assert read_json(spark, f"{out}/files_with_warnings") == []

@@ -3,7 +3,9 @@
 ``percentile``/``median`` keep every distinct value of a group in one buffer,
 which a group with a third of a large table would overflow. Here a mergeable
 rank sketch brackets each wanted rank, a second pass counts rows by value inside
-the brackets only, and the exact order statistic is read from those counts.
+the brackets only, and the exact order statistic is read from those counts. They are
+added up in value ranges: each range of a group by itself, then the ranges' totals, so
+no task sorts all values that a large group keeps.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 
 from ..joins import join_group_facts
 
+#: Value ranges of a group that are added up apart.
+RANGES = 1024
+
 
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: Column, probs: dict[str, float], accuracy: int = 10_000
@@ -47,11 +52,19 @@ def exact_percentiles(
     for i in range(len(wanted) - 1, -1, -1):
         lo, hi = F.get(e, F.lit(2 * i)), F.get(e, F.lit(2 * i + 1))
         clamp = F.when(v < lo, lo).when(v <= hi, v).otherwise(clamp)
-    counts = joined.select(*keys, "_n", clamp.alias("_v")).groupBy(*keys, "_v").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")
+    low, high = F.get(e, F.lit(0)).cast("double"), F.element_at(e, -1).cast("double")
+    counts = joined.select(*keys, "_n", clamp.alias("_v"), low.alias("_low"), high.alias("_high")).groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"), F.max("_low").alias("_low"), F.max("_high").alias("_high")
     )
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")).alias("_upto")
-    ranked = counts.select(*keys, "_v", "_n", upto)
+    # Rises with the value, whatever the rounding.
+    place = F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)
+    counts = counts.withColumn("_range", F.when(F.col("_high") > F.col("_low"), place).otherwise(0))
+    inside = F.sum("_c").over(Window.partitionBy(*keys, "_range").orderBy("_v"))
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("_c").alias("_t"))
+    # At most RANGES + 1 rows per group.
+    before = totals.select(*keys, "_range", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_t")).alias("_before"))
+    ranked = counts.withColumn("_inside", inside).join(before, [*keys, "_range"]).select(
+        *keys, "_v", "_n", (F.col("_inside") + F.col("_before")).alias("_upto"))
 
     aggs = []
     for name, p in wanted:
