@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from transectra.operators import points
 from transectra.operators.dataset_rules import duplicate_groups, first_n, transect_events
 from transectra.operators.image_rules import image_findings
-from transectra.operators.report import rollup
+from transectra.operators.report import overall_severity, rollup
 
 
 def plan(df):
@@ -67,3 +67,11 @@ def test_first_n_is_cut_before_the_shuffle(inventory):
 
 def test_dataset_scans_are_narrow(inventory):
     assert "ReadSchema: struct<site:string,name:string,csv_uuid:string>" in plan(transect_events(inventory))
+
+
+def test_findings_are_not_sorted_for_the_worst_severity(spark):
+    rows = [("a", "x", "image", 1, "warn", 1), ("a", "w", "image", 2, "unverified", 1), ("b", "x", "image", 0, "ok", 0), ("b", "d", "dataset", 0, "fail", 2),
+            ("c", "n", "image", 0, "warn", 1), ("c", "dataset", "dataset", 3, "unverified", 1), ("d", "n", "image", 0, "ok", 0), (None, "n", "image", 0, "warn", 1)]
+    found = overall_severity(spark.createDataFrame(rows, "site string, scope string, scope_kind string, pos int, severity string, rank int"))
+    assert {r.site: r.overall_severity for r in found.collect()} == {"a": "unverified", "b": "fail", "c": "unverified", "d": "ok", None: "warn"}
+    assert "SortAggregate" not in plan(found)
