@@ -17,7 +17,7 @@ All remaining pairs are compared, in exact arithmetic over the whole texts. Noth
 capped: the result has every link's effect on the components.
 
 Texts with the same shingle set are one node. Copies inside a task are combined before
-the index is shuffled, so a group of copies gives at most one entry per task.
+the index is shuffled, so a group of copies gives each list at most one entry per task.
 
 Defined results: without words (null, empty or white space) a document has no shingle
 and is its own component; fewer words than ``WORDS`` make one shingle. A null
@@ -28,6 +28,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -46,8 +47,8 @@ WORDS = 5
 LEAST = 75
 #: Counters of the frequency sketch, and bits of the filter of nodes that have candidates.
 SKETCH_BITS, FILTER_BITS = 22, 25
-#: Index entries of one bucket, about: 48 MB.
-ENTRIES_PER_BUCKET = 2_000_000
+#: Index entries of one bucket, about: 12 MB.
+ENTRIES_PER_BUCKET = 500_000
 #: Entries of a list that are judged together before they are judged singly.
 BLOCK = 256
 REMEMBERED = 200_000
@@ -100,25 +101,53 @@ def prefix_length(n: np.ndarray | int, least: int = LEAST):
 
 # --- what all tasks add up -----------------------------------------------------------
 
-def frequency_classes(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, int]:
-    """(binary logarithm of each counter of a sketch of shingle counts over all texts, number of shingles)."""
+_SEEN = "doc_id long, n long, set_key binary, sid long, block int, data binary"
+
+
+def _sets_and_counts(words: int):
+    """Rows of two kinds: one per document, and a task's sketch of shingle counts in compressed pieces."""
     size = 1 << SKETCH_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, table = Shingler(words), np.zeros(size, np.int64)
         waiting, n = [], 0
+
+        def add() -> None:
+            at = (np.concatenate(waiting) & np.uint64(size - 1)).astype(np.int64)
+            np.add(table, np.bincount(at, minlength=size), out=table)
+
         for batch in batches:
+            sizes, keys = [], []
             for text in batch["text"]:
-                waiting.append(shingler.of(text.as_py()))
-                n += len(waiting[-1])
+                s = shingler.of(text.as_py())
+                sizes.append(len(s))
+                keys.append(_set_key(s) if len(s) else None)
+                waiting.append(s)
+                n += len(s)
                 if n > 1 << 20:
-                    table += np.bincount((np.concatenate(waiting) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+                    add()
                     waiting, n = [], 0
+            k = len(sizes)
+            yield _batch(_SEEN, [batch["id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                                 pa.array([None if x is None else _sid(x) for x in keys], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())])
         if waiting:
-            table += np.bincount((np.concatenate(waiting) & np.uint64(size - 1)).astype(np.int64), minlength=size)
-        yield pieces_of(table)
+            add()
+        piece = pieces_of(table)
+        k, data = piece.num_rows, [zlib.compress(x.as_py(), 1) for x in piece["data"]]
+        yield _batch(_SEEN, [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64())] + [piece["block"], pa.array(data, pa.binary())])
+
+    return run
+
 
-    counts = merge(rows.select("text").mapInArrow(run, "block int, data binary"), size, "<i8", np.add)
+def _batch(schema: str, columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+
+def frequency_classes(seen: DataFrame) -> tuple[np.ndarray, int]:
+    """(binary logarithm of each counter of the sketch over all texts, number of shingles)."""
+    # Pieces travel compressed: dealt by block first, unpacked where they are added up.
+    packed = seen.filter("block IS NOT NULL").select("block", "data")
+    counts = merge(packed, 1 << SKETCH_BITS, "<i8", np.add, unpack=zlib.decompress)
     return np.frexp(counts.astype(float))[1].astype(np.uint8), int(counts.sum())
 
 
@@ -147,56 +176,49 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 def _node(doc_id: int | None, key: bytes) -> int:
     """A set's node: the id of a document that has it; a row without one gets a number apart from ids."""
-    return doc_id if doc_id is not None else -(int.from_bytes(key[:7], "little") + 2)
+    return doc_id if doc_id is not None else -(int.from_bytes(key[8:15], "big") + 2)
+
+
+def _sid(key: bytes) -> int:
+    """64 bits of a set's key, as a number in the index."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 # --- the index ----------------------------------------------------------------------
 
-_INDEXED = "doc_id long, n long, node long, set_key binary, bucket int, data binary"
 _ENTRY = np.dtype([("token", "<u8"), ("node", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
 def _index(classes: np.ndarray, buckets: int, words: int, least: int):
-    """Two kinds of rows: one per document, and one per batch and bucket with index entries."""
+    """Index entries of the sets of a task, one row per batch and bucket; a set met again adds nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, nodes = Shingler(words), {}
+        shingler, met = Shingler(words), set()
         mask = np.uint64(len(classes) - 1)
-        names = [x.split()[0] for x in _INDEXED.split(", ")]
         for batch in batches:
-            ids, sizes, owner, keys, entries = batch["id"].to_pylist(), [], [], [], []
-            for doc, text in zip(ids, batch["text"]):
-                s = shingler.of(text.as_py())
-                sizes.append(len(s))
-                if not len(s):
-                    owner.append(None)
-                    keys.append(None)
-                    continue
-                key = _set_key(s)
-                keys.append(key)
-                node = nodes.get(key)
-                if node is None:
-                    node = nodes[key] = _node(doc, key)
+            for first in range(0, batch.num_rows, 2048):
+                entries = []
+                for text in batch["text"].slice(first, 2048):
+                    s = shingler.of(text.as_py())
+                    if not len(s):
+                        continue
+                    key = _set_key(s)
+                    if key in met:
+                        continue
+                    met.add(key)
                     order = np.argsort(classes[(s & mask).astype(np.int64)], kind="stable")[:prefix_length(len(s), least)]
                     e = np.empty(len(order), _ENTRY)
-                    e["token"], e["node"], e["n"], e["at"] = s[order], node, len(s), np.arange(len(order))
+                    e["token"], e["node"], e["n"], e["at"] = s[order], _sid(key), len(s), np.arange(len(order))
                     entries.append(e)
-                owner.append(node)
-            k = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(sizes, pa.int64()), pa.array(owner, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-            if entries:
+                if not entries:
+                    continue
                 e = np.concatenate(entries)
                 bucket = ((e["token"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                used, first = np.unique(bucket[order], return_index=True)
-                cut = np.append(first, len(e))
+                used, start = np.unique(bucket[order], return_index=True)
+                cut = np.append(start, len(e))
                 data = [e[order[a:b]].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                m = len(used)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
-                     pa.array(used, pa.int32()), pa.array(data, pa.binary())], names=names)
+                yield _batch("bucket int, data binary", [pa.array(used, pa.int32()), pa.array(data, pa.binary())])
 
     return run
 
@@ -206,11 +228,15 @@ def _enough(nx, ny, least: int):
     return -(-least * (nx + ny) // (100 + least))
 
 
+_LED = "lead long, node long, token long, n int, at int"
+
+
 def _led_lists(least: int):
-    """Lists of at least two entries of a bucket, each entry beside its leader.
+    """Rows of two kinds from the lists of a bucket.
 
-    ``compare``: the pair can be a link as far as sizes and positions tell. ``most``: the
-    most shingles they can share, whatever stands before in their prefixes.
+    Without a token: a distinct pair of a list's leader and an entry, as far as sizes and
+    positions let it be a link. With a token: the entries of lists of three and more,
+    the leader (the least node) included, for what the leader's answers leave open.
     """
 
     def run(key, table):
@@ -219,26 +245,27 @@ def _led_lists(least: int):
         fresh = np.ones(len(e), bool)
         fresh[1:] = (e["token"][1:] != e["token"][:-1]) | (e["node"][1:] != e["node"][:-1])
         e = e[fresh]
-        start = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1])) if len(e) else np.zeros(0, int)
+        start = np.flatnonzero(np.append(True, e["token"][1:] != e["token"][:-1]))
         size = np.diff(np.append(start, len(e)))
-        keep = np.repeat(size >= 2, size)
-        lead = np.repeat(start, size)[keep]
-        long = np.repeat(size >= 3, size)[keep]
-        x, y = e[lead], e[keep]
+        y = e[np.repeat(size >= 2, size)]
+        x = e[np.repeat(start, size)[np.repeat(size >= 2, size)]]
         nx, ny, ax, ay = (v.astype(np.int64) for v in (x["n"], y["n"], x["at"], y["at"]))
-        rest = 1 + np.minimum(nx - ax - 1, ny - ay - 1)
+        rest = np.minimum(nx - ax, ny - ay)
         compare = (100 * np.minimum(nx, ny) >= least * np.maximum(nx, ny)) & (rest >= _enough(nx, ny, least)) & (x["node"] != y["node"])
-        use = compare | long
-        columns = [y["token"].view(np.int64), x["node"], y["node"], nx, ny, ay, np.minimum(rest + np.minimum(ax, ay), np.minimum(nx, ny)), compare, long]
-        return pa.table([pa.array(np.ascontiguousarray(c[use])) for c in columns],
-                        names=["token", "lead", "node", "n_lead", "n", "at", "most", "compare", "long"])
+        pairs = np.unique(np.stack([x["node"][compare], y["node"][compare]], axis=1), axis=0)
+        long = e[np.repeat(size >= 3, size)]
+        k, m = len(pairs), len(long)
+        return pa.table([
+            pa.chunked_array([pa.array(pairs[:, 0].copy(), pa.int64()), pa.nulls(m, pa.int64())]),
+            pa.chunked_array([pa.array(pairs[:, 1].copy(), pa.int64()), pa.array(long["node"].copy(), pa.int64())]),
+            pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(long["token"].copy().view(np.int64), pa.int64())]),
+            pa.chunked_array([pa.nulls(k, pa.int32()), pa.array(long["n"].astype(np.int32), pa.int32())]),
+            pa.chunked_array([pa.nulls(k, pa.int32()), pa.array(long["at"].astype(np.int32), pa.int32())]),
+        ], names=["lead", "node", "token", "n", "at"])
 
     return run
 
 
-_LED = "token long, lead long, node long, n_lead long, n long, at long, most long, compare boolean, long boolean"
-
-
 # --- comparing ----------------------------------------------------------------------
 
 def _compare(words: int):
@@ -249,8 +276,8 @@ def _compare(words: int):
             shared, nx, ny = [], [], []
             for x, text_x, text_y in zip(batch["x"].to_pylist(), batch["text_x"], batch["text_y"]):
                 if x != known:
-                    known, first = x, shingler.of(text_x.as_py())
-                other = shingler.of(text_y.as_py())
+                    known, first = x, shingler.of(zlib.decompress(text_x.as_py()).decode())
+                other = shingler.of(zlib.decompress(text_y.as_py()).decode())
                 shared.append(len(np.intersect1d(first, other, assume_unique=True)))
                 nx.append(len(first))
                 ny.append(len(other))
@@ -267,7 +294,7 @@ class _Texts:
         self.rows, self.words = rows, words
 
     def _of(self, wanted: DataFrame) -> DataFrame:
-        """(node, text); repeated rows are one, first inside each task, then over all."""
+        """(node, text) of all wanted nodes and a few others, compressed; rows repeated in a task are one."""
         bits, words = _node_filter(wanted), self.words
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,19 +308,17 @@ class _Texts:
                 ok = np.ones(len(ids), bool)
                 for at in _filter_places(ids):
                     ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                at, prints = [], []
+                at, texts = [], []
                 for i in np.flatnonzero(ok).tolist():
-                    text_print = xxhash.xxh64_intdigest(batch["text"][i].as_py())
-                    if (nodes[i], text_print) not in seen:
-                        seen.add((nodes[i], text_print))
+                    text = batch["text"][i].as_py()
+                    mark = nodes[i], xxhash.xxh64_intdigest(text)
+                    if mark not in seen:
+                        seen.add(mark)
                         at.append(i)
-                        prints.append(text_print - (1 << 63))
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at], pa.int64()), pa.array(prints, pa.int64()), batch["text"].take(take)], names=["node", "print", "text"])
+                        texts.append(zlib.compress(text.encode(), 1))
+                yield _batch("node long, text binary", [pa.array(ids[at], pa.int64()), pa.array(texts, pa.binary())])
 
-        found = self.rows.mapInArrow(pick, "node long, print long, text string").join(wanted, "node", "left_semi")
-        return found.groupBy("node", "print").agg(F.first("text").alias("text")).select("node", "text")
+        return self.rows.mapInArrow(pick, "node long, text binary")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """(x, y, shared, nx, ny) of distinct (x, y): sizes and overlap of the two sets."""
@@ -310,6 +335,60 @@ class _Texts:
 
 # --- what the leader's answers leave open -------------------------------------------
 
+def _each_list(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Lists, one at a time, of rows sorted by token."""
+    waiting: list[dict[str, np.ndarray]] = []
+
+    def whole() -> dict[str, np.ndarray]:
+        out = {c: np.concatenate([w[c] for w in waiting]) for c in waiting[0]}
+        waiting.clear()
+        return out
+
+    for batch in batches:
+        rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        token = rows["token"]
+        cut = [0, *(np.flatnonzero(token[1:] != token[:-1]) + 1).tolist(), len(token)] if len(token) else [0]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if waiting and waiting[-1]["token"][0] != token[a]:
+                yield whole()
+            waiting.append({c: v[a:b] for c, v in rows.items()})
+    if waiting:
+        yield whole()
+
+
+_OPEN = "token long, node long, part long, n int, at int, lead long, most int, sure boolean"
+
+
+def _lists_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists whose entries are of several components, each entry beside its leader.
+
+    ``most``: the most shingles the two can share, whatever stands before in their prefixes.
+    ``sure`` is false where two sets have one number, so that the leader is not known.
+    """
+    waiting, rows = [], 0
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate([w[i] for w in waiting]) for i in range(8)]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+        return _batch(_OPEN, [pa.array(c, t) for c, t in zip(columns, types)])
+
+    for e in _each_list(batches):
+        part = e["part"]
+        if (part == part[0]).all():
+            continue
+        n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
+        x = int(e["sid"].argmin())
+        most = np.minimum(np.minimum(at, at[x]) + np.minimum(n - at, n[x] - at[x]), np.minimum(n, n[x]))
+        sure = len(np.unique(e["sid"])) == len(n)
+        waiting.append((e["token"], e["node"], part, n, at, np.full(len(n), e["node"][x]), most, np.full(len(n), sure)))
+        rows += len(n)
+        if rows > 1 << 16:
+            yield flush()
+            waiting, rows = [], 0
+    if waiting:
+        yield flush()
+
+
 def _open_pairs(least: int):
     """Pairs of entries of one list that neither a component, nor sizes and positions, nor the leader's answers settle.
 
@@ -343,47 +422,24 @@ def _open_pairs(least: int):
                     yield node[x][p], node[y][q]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by token; one list at a time."""
-        waiting: list[np.ndarray] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if not waiting:
-                return
-            m = np.concatenate(waiting, axis=1)
-            whole, real = m[:5].astype(np.int64), m[5:]
-            token = m[0].view(np.int64)
-            start = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            xs, ys = [], []
-            for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
-                node, part = m[1, a:b].view(np.int64), m[2, a:b].view(np.int64)
-                for x, y in of_list(node, part, whole[3, a:b], whole[4, a:b], real[0, a:b], real[1, a:b]):
-                    xs.append(np.minimum(x, y))
-                    ys.append(np.maximum(x, y))
-            if xs:
-                pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
-                for i in range(0, len(pairs), 1 << 16):
-                    some = pairs[i:i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], names=["x", "y"])
-
-        for batch in batches:
-            column = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("token", "node", "part", "n", "at", "far", "near")}
-            rows = np.stack([column[c].astype(np.int64).view(np.float64) for c in ("token", "node", "part")]
-                            + [column[c].astype(np.float64) for c in ("n", "at", "far", "near")])
-            if not rows.shape[1]:
-                continue
-            token = rows[0].view(np.int64)
-            # Whole lists end where the last token of this batch begins.
-            last = int(np.flatnonzero(token != token[-1])[-1]) + 1 if (token != token[-1]).any() else 0
-            if last or (waiting and waiting[-1][0].view(np.int64)[-1] != token[0]):
-                if waiting and waiting[-1][0].view(np.int64)[-1] != token[0]:
-                    yield from close()
-                    waiting = []
-                if last:
-                    waiting.append(rows[:, :last])
-                    yield from close()
-                    waiting = []
-            waiting.append(rows[:, last:])
-        yield from close()
+        """Rows sorted by token; pairs of a few lists are made distinct together."""
+        xs, ys, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)], axis=1), axis=0)
+            return _batch("x long, y long", [pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())])
+
+        for e in _each_list(batches):
+            n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
+            for x, y in of_list(e["node"], e["part"], n, at, e["far"], e["near"]):
+                xs.append(np.minimum(x, y))
+                ys.append(np.maximum(x, y))
+                held += len(x)
+                if held > 1 << 18:
+                    yield flush()
+                    xs, ys, held = [], [], 0
+        if xs:
+            yield flush()
 
     return run
 
@@ -396,71 +452,68 @@ def similarity_components(
     """(doc_id, n_shingles, component_id) of every row. Runs jobs."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     parallel = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    classes, total = frequency_classes(rows, words)
-    entries = total * (100 - least) // 100
-    buckets = max(parallel, -(-entries // ENTRIES_PER_BUCKET))
-    indexed = settle(rows.mapInArrow(_index(classes, buckets, words, least), _INDEXED))
-    members = indexed.filter("bucket IS NULL").select("doc_id", "n", "node", "set_key")
-
-    # Nodes of the same set that were met in different tasks.
-    placed = members.filter("node IS NOT NULL").groupBy("node", "set_key").agg(F.count(F.lit(1)).alias("rows"))
-    first = placed.groupBy("set_key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
-    same = settle(placed.join(first, "set_key").filter("node <> rep").select("node", "rep"))
-
-    def represented(df: DataFrame, column: str) -> DataFrame:
-        rep = same.select(F.col("node").alias(column), F.col("rep").alias("_rep"))
-        return df.join(rep, column, "left").withColumn(column, F.coalesce("_rep", column)).drop("_rep")
-
-    def ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
-
-    led = settle(indexed.filter("bucket IS NOT NULL").select("bucket", "data").groupBy("bucket").applyInArrow(_led_lists(least), _LED))
-    pairs = led.filter("compare").select("lead", "node").distinct()
-    pairs = settle(ordered(represented(represented(pairs, "lead"), "node"), "lead", "node"))
+    seen = settle(rows.mapInArrow(_sets_and_counts(words), _SEEN))
+    classes, total = frequency_classes(seen)
+    buckets = max(parallel, -(-(total * (100 - least) // 100) // ENTRIES_PER_BUCKET))
+    members = seen.filter("block IS NULL").select("doc_id", "n", "set_key", "sid")
+
+    # One node per set: its least id. In the index a set is 64 bits of its key; should two sets share
+    # them, both nodes are looked up, so nothing is lost.
+    sets = members.filter("set_key IS NOT NULL").groupBy("set_key", "sid").agg(F.min("doc_id").alias("least_id"))
+    synthetic = -2 - F.conv(F.hex(F.substring("set_key", 9, 7)), 16, 10).cast("long")
+    sets = settle(sets.withColumn("node", F.coalesce("least_id", synthetic)))
+    number = sets.select("sid", "node")
+
+    def nodes_of(df: DataFrame, column: str) -> DataFrame:
+        return df.join(number.select(F.col("sid").alias(column), F.col("node").alias(f"_{column}")), column).drop(column)
+
+    entries = rows.select("text").mapInArrow(_index(classes, buckets, words, least), "bucket int, data binary")
+    led = settle(entries.groupBy("bucket").applyInArrow(_led_lists(least), _LED))
+    pairs = nodes_of(nodes_of(led.filter("token IS NULL").select("lead", "node").distinct(), "lead"), "node")
+    pairs = pairs.filter("_lead <> _node").select(F.least("_lead", "_node").alias("x"), F.greatest("_lead", "_node").alias("y"))
+    pairs = settle(pairs.distinct())
     texts = _Texts(rows, words)
     answers = texts.compared(pairs)
 
     def linked(found: DataFrame) -> DataFrame:
         return found.filter(f"100 * shared >= {least} * (nx + ny - shared)").select("x", "y")
 
-    parts = settle(connected_components(linked(answers).unionByName(same.select(F.col("node").alias("x"), F.col("rep").alias("y")))))
-
-    def in_part(df: DataFrame, column: str, name: str) -> DataFrame:
-        p = parts.select(F.col("node").alias(column), F.col("component").alias("_part"))
-        return df.join(p, column, "left").withColumn(name, F.coalesce("_part", column)).drop("_part")
+    parts = connected_components(linked(answers))
+    placed = settle(sets.join(parts, "node", "left").select(
+        "set_key", "sid", "node", "least_id", F.coalesce("component", "node").alias("part")))
 
     # Lists that are in one component already have nothing open.
-    open_lists = in_part(led.filter("long"), "node", "part")
-    several = open_lists.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
-    open_lists = represented(represented(open_lists.join(several, "token", "left_semi"), "lead"), "node")
+    lists = led.filter("token IS NOT NULL").select("token", F.col("node").alias("sid"), "n", "at")
+    lists = lists.join(placed.select("sid", "node", "part"), "sid").repartition("token").sortWithinPartitions("token")
+    across = settle(lists.mapInArrow(_lists_across, _OPEN))
     known = answers.select("x", "y", "shared", (F.col("nx") + F.col("ny")).alias("both")).dropDuplicates(["x", "y"])
-    open_lists = open_lists.withColumns({"x": F.least("lead", "node"), "y": F.greatest("lead", "node")}).join(known, ["x", "y"], "left")
-    exact = 1 - F.col("shared") / (F.col("both") - F.col("shared"))
-    bound = 1 - F.col("most") / (F.col("n_lead") + F.col("n") - F.col("most"))
-    own = F.col("lead") == F.col("node")
-    open_lists = open_lists.select(
-        "token", "node", "part", "n", "at",
-        F.when(own, 0.0).otherwise(F.coalesce(exact, bound)).cast("double").alias("far"),
-        F.when(own, 0.0).otherwise(F.coalesce(exact, F.lit(1.0))).cast("double").alias("near"),
+    near_lead = F.when(F.col("lead") == F.col("node"), 0.0).otherwise(1 - F.col("shared") / (F.col("both") - F.col("shared")))
+    leads = across.filter("lead = node").select("token", F.col("n").alias("n_lead")).distinct()
+    most = F.col("most")
+    bounded = (
+        across.withColumns({"x": F.least("lead", "node"), "y": F.greatest("lead", "node")}).join(known, ["x", "y"], "left")
+        .join(leads, "token").withColumn("near_lead", near_lead)
+        .select(
+            "token", "node", "part", "n", "at",
+            F.when(~F.col("sure"), 0.0).otherwise(F.coalesce("near_lead", 1 - most / (F.col("n_lead") + F.col("n") - most))).cast("double").alias("far"),
+            F.when(~F.col("sure"), 1.0).otherwise(F.coalesce("near_lead", F.lit(1.0))).cast("double").alias("near"))
     )
     more = (
-        open_lists.repartition("token").sortWithinPartitions("token").mapInArrow(_open_pairs(least), "x long, y long").distinct()
+        bounded.repartition("token").sortWithinPartitions("token").mapInArrow(_open_pairs(least), "x long, y long").distinct()
         .join(answers.select("x", "y"), ["x", "y"], "left_anti")
     )
     more = settle(more)
     if not more.isEmpty():
-        late = linked(texts.compared(more))
-        across = in_part(in_part(late, "x", "px"), "y", "py").select("px", "py")
-        joined = settle(connected_components(across)).select(F.col("node").alias("component"), F.col("component").alias("_joined"))
-        parts = settle(
-            parts.join(joined, "component", "left").select("node", F.coalesce("_joined", "component").alias("component"))
-            # Nodes that no earlier link had touched are components of their own until now.
-            .unionByName(joined.select(F.col("component").alias("node"), F.col("_joined").alias("component"))
-                         .join(parts.select("node"), "node", "left_anti"))
+        of = placed.select("node", "part")
+        late = (
+            linked(texts.compared(more)).join(of.select(F.col("node").alias("x"), F.col("part").alias("px")), "x")
+            .join(of.select(F.col("node").alias("y"), F.col("part").alias("py")), "y").select("px", "py")
         )
+        joined = connected_components(late).select(F.col("node").alias("part"), F.col("component").alias("_joined"))
+        placed = settle(placed.join(joined, "part", "left").withColumn("part", F.coalesce("_joined", "part")).drop("_joined"))
 
-    labelled = settle(in_part(members.select("doc_id", "n", "node"), "node", "label"))
-    least_id = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least_id"))
-    return labelled.join(settle(least_id), "label", "left").select(
+    least_id = settle(placed.groupBy("part").agg(F.min("least_id").alias("component_id")))
+    found = settle(placed.join(least_id, "part").select("set_key", "component_id"))
+    return members.select("doc_id", "n", "set_key").join(found, "set_key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+        F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -20,17 +20,17 @@ def pieces_of(table: np.ndarray) -> pa.RecordBatch:
         [pa.array(used, pa.int32()), pa.array([cut[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
 
 
-def merge(parts: DataFrame, size: int, dtype: str, add) -> np.ndarray:
+def merge(parts: DataFrame, size: int, dtype: str, add, unpack=None) -> np.ndarray:
     """The tables of all tasks (block, data) combined by ``add``, block by block and streaming.
 
-    Only the combined table, ``size`` numbers whatever the input, reaches the driver.
+    ``unpack`` undoes a compression of the data. Only the combined table, ``size`` numbers whatever the input, reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch["block"].to_pylist(), batch["data"]):
-                x = np.frombuffer(data.as_buffer(), dtype)
+                x = np.frombuffer(unpack(data.as_py()) if unpack else data.as_buffer(), dtype)
                 if block in total:
                     add(total[block], x, out=total[block])
                 else:
