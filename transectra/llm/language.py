@@ -207,7 +207,9 @@ def fit(
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / sizes[k]))])
     chosen = labelled.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     words = settle(chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
-                   .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+                   .groupBy("lang", "word").agg(F.sum("n").alias("n"))
+                   # Few bytes, much work on each: dealt out, or the rounds would run in a task or two.
+                   .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word"))
     column = {k: i for i, k in enumerate(langs)}
     table = np.full(shape, 1.0 / pieces.none)
     table[pieces.none] = 0
