@@ -42,6 +42,23 @@ def test_label_model_finds_the_accuracies():
     assert np.abs(model.wrong - (1 - 0.6 * up)).max() < 0.06
 
 
+@pytest.mark.parametrize("passage", [40, 700])
+def test_repetition_counts_at_any_length(passage):
+    """A passage repeated non-adjacently is low, ordinary text is good, below and above any number of words."""
+    words = [f"{w}{i}" for i, w in enumerate(prose(7, passage).split(" "))]
+    features = quality.Features()
+    for n in (2999, 3000, 3001, 6000, 20000):
+        text = " ".join((words * (n // passage + 1))[:n])
+        assert quality.votes(text)[6] == -1
+        where, value = features.of(text)
+        assert value[where == features.seen][0] > 0.75
+    for n in (400, 2999, 3000, 3001, 6000, 20000):
+        text = prose(8, n)
+        assert quality.votes(text)[6] == 1
+        where, value = features.of(text)
+        assert value[where == features.seen][0] < 0.45
+
+
 def test_documents_without_a_word_have_no_score(awkward):
     found = [r for r in quality.classify(awkward).collect() if r.doc_id in (5, 6, 7)]
     assert [(r.score, r.kept) for r in found] == [(0.0, False)] * 3

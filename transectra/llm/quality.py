@@ -6,7 +6,8 @@ most 3 ** number of labellers, whatever the corpus) estimates it, together with
 share of good texts. The posterior of its votes is a text's weak label. A linear
 scorer over hashed features (word shapes, pairs of shapes, repetition) is trained on
 the posteriors of a bounded sample, chosen by hash, and scores every whole text. Human
-labels are not used.
+labels are not used. Repetition is measured over the whole text, whatever its length
+(:func:`repetition`).
 
 Defined results: a null text counts as empty; a text without a word has score 0 and is
 not kept; null and repeated ids stay rows of their own; an empty table gives an empty
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 12_000
 BITS = 14
 REMEMBERED = 200_000
+#: Words of a stretch in which distinct words are counted, and of a passage that counts as met again.
+STRETCH, PASSAGE = 500, 5
 
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-]|_")
 _LOUD = re.compile(r"[^\w\s]{2,}(?=\s|$)")
@@ -42,6 +45,30 @@ def _range_vote(x: float, good: float, low: float) -> int:
     return 1 if x <= good else -1 if x >= low else 0
 
 
+_FACTORS = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def repetition(words: list[str]) -> float:
+    """Share of words met before in their stretch of ``STRETCH`` words, or of passages met before anywhere, whichever is more.
+
+    Unlike the share of distinct words of a whole text, neither rises with the length of
+    ordinary text. A passage met again starts with a word met again, so within one
+    stretch the first share is never the lesser one.
+    """
+    n = len(words)
+    if n <= STRETCH:
+        return 1 - len(set(words)) / n if n else 0.0
+    again = n - sum(len(set(words[i:i + STRETCH])) for i in range(0, n, STRETCH))
+    first: dict[str, int] = {}
+    at = np.fromiter(map(first.setdefault, words, range(n)), np.int64, n).astype(np.uint64)
+    m = n - PASSAGE + 1
+    passage = np.zeros(m, np.uint64)
+    for i in range(PASSAGE):
+        x = (passage ^ at[i:i + m]) * _FACTORS[i]
+        passage = x ^ (x >> np.uint64(29))
+    return max(again, m - len(np.unique(passage))) / n
+
+
 def votes(text: str) -> tuple[int, ...]:
     """One vote per labeller: 1 good, -1 low, 0 none."""
     words = text.split()
@@ -59,7 +86,7 @@ def votes(text: str) -> tuple[int, ...]:
         _range_vote(text.count("!") / n, 0.1, 0.6),
         _range_vote(len(_LOUD.findall(text)) / n, 0.05, 0.4),
         _range_vote(len(_BARE.findall(text)) / n, 0.03, 0.2),
-        _range_vote(1 - len(set(words)) / n, 0.45, 0.75) if 30 <= n <= 3000 else 0,
+        _range_vote(repetition(words), 0.45, 0.75) if enough else 0,
         _range_vote(top, 0.12, 0.3) if enough else 0,
         _range_vote(abs(len(_STOP.findall(text)) / n - 0.15), 0.13, 0.5) if enough else 0,
     )
@@ -147,7 +174,7 @@ class Features:
         hashed = (np.concatenate([s, pair]) & np.uint64(self.mask)).astype(np.int64)
         where = np.concatenate([hashed, [self.same, self.seen, self.bias]])
         value = np.full(len(where), 1.0 / n)
-        value[-3:] = 4 * sum(map(eq, words, words[1:])) / n, 1 - len(set(words)) / n if n < 3000 else 0, 1
+        value[-3:] = 4 * sum(map(eq, words, words[1:])) / n, repetition(words), 1
         return where, value
 
 
