@@ -140,6 +140,28 @@ def test_what_leaders_leave_open_is_compared(spark):
     assert sorted(tuple(r) for r in jaccard.similarity_components(docs).collect()) == brute_similar(rows)
 
 
+def test_an_id_with_different_texts_hides_no_link(spark):
+    """Lists of a leader, two texts of one id, near to it and far from it, and a document like the far one only."""
+    shingler, rows = jaccard.Shingler(), []
+
+    def sid(text):
+        return jaccard._sid(jaccard._set_key(shingler.of(text)))
+
+    for k in range(10):
+        rare, near, far = (" ".join(f"{kind}{k}x{i}" for i in range(n)) for kind, n in (("rare", 40), ("near", 116), ("far", 116)))
+        for salt in range(1000):
+            lead, first, second, other = (f"{rare} {x}{k}s{salt} {body}" for x, body in (("a", near), ("b", near), ("c", far), ("d", far)))
+            if sid(lead) < min(map(sid, (first, second, other))):
+                break
+        base = 100 * k
+        rows += [(base + 1, lead), *[(base + 2, t) for t in ((first, second) if k % 2 else (second, first))], (base + 3, other)]
+        # These make all but the rare shingles frequent, and are like nothing else.
+        rows += [(base + 10 + j, f"{near} {' '.join(f'own{k}x{j}y{i}' for i in range(400))} {far}") for j in range(8)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    found = {(r.doc_id, r.component_id) for r in jaccard.similarity_components(docs).collect()}
+    assert found == {(i, i if i % 100 >= 10 else i // 100 * 100 + 1) for i, _ in rows}
+
+
 def test_open_pairs_skip_nothing_that_can_link():
     """The block walk against all pairs, with bounds that rule nothing out but size, place and component."""
     import pyarrow as pa

@@ -274,9 +274,10 @@ def _compare(words: int):
         known, first = None, None
         for batch in batches:
             shared, nx, ny = [], [], []
-            for x, text_x, text_y in zip(batch["x"].to_pylist(), batch["text_x"], batch["text_y"]):
-                if x != known:
-                    known, first = x, shingler.of(zlib.decompress(text_x.as_py()).decode())
+            for text_x, text_y in zip(batch["text_x"], batch["text_y"]):
+                text_x = text_x.as_py()
+                if text_x != known:  # by text: one node may have several
+                    known, first = text_x, shingler.of(zlib.decompress(text_x).decode())
                 other = shingler.of(zlib.decompress(text_y.as_py()).decode())
                 shared.append(len(np.intersect1d(first, other, assume_unique=True)))
                 nx.append(len(first))
@@ -363,7 +364,9 @@ def _lists_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Lists whose entries are of several components, each entry beside its leader.
 
     ``most``: the most shingles the two can share, whatever stands before in their prefixes.
-    ``sure`` is false where two sets have one number, so that the leader is not known.
+    ``sure`` is false where two sets have one number, so that the leader is not known, and
+    where the entry's node or the leader's has several sets (one id, different texts), as
+    answers are of nodes.
     """
     waiting, rows = [], 0
 
@@ -379,8 +382,9 @@ def _lists_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         n, at = e["n"].astype(np.int64), e["at"].astype(np.int64)
         x = int(e["sid"].argmin())
         most = np.minimum(np.minimum(at, at[x]) + np.minimum(n - at, n[x] - at[x]), np.minimum(n, n[x]))
-        sure = len(np.unique(e["sid"])) == len(n)
-        waiting.append((e["token"], e["node"], part, n, at, np.full(len(n), e["node"][x]), most, np.full(len(n), sure)))
+        several = e["several"].astype(bool)
+        sure = ~(several | several[x]) & (len(np.unique(e["sid"])) == len(n))
+        waiting.append((e["token"], e["node"], part, n, at, np.full(len(n), e["node"][x]), most, sure))
         rows += len(n)
         if rows > 1 << 16:
             yield flush()
@@ -479,12 +483,15 @@ def similarity_components(
         return found.filter(f"100 * shared >= {least} * (nx + ny - shared)").select("x", "y")
 
     parts = connected_components(linked(answers))
-    placed = settle(sets.join(parts, "node", "left").select(
-        "set_key", "sid", "node", "least_id", F.coalesce("component", "node").alias("part")))
+    # Nodes of ids that come with different texts; none if ids are unique.
+    several = settle(sets.groupBy("node").count().filter("count > 1").select("node", F.lit(True).alias("_several")))
+    placed = settle(sets.join(parts, "node", "left").join(several, "node", "left").select(
+        "set_key", "sid", "node", "least_id", F.coalesce("component", "node").alias("part"),
+        F.coalesce("_several", F.lit(False)).alias("several")))
 
     # Lists that are in one component already have nothing open.
     lists = led.filter("token IS NOT NULL").select("token", F.col("node").alias("sid"), "n", "at")
-    lists = lists.join(placed.select("sid", "node", "part"), "sid").repartition("token").sortWithinPartitions("token")
+    lists = lists.join(placed.select("sid", "node", "part", "several"), "sid").repartition("token").sortWithinPartitions("token")
     across = settle(lists.mapInArrow(_lists_across, _OPEN))
     known = answers.select("x", "y", "shared", (F.col("nx") + F.col("ny")).alias("both")).dropDuplicates(["x", "y"])
     near_lead = F.when(F.col("lead") == F.col("node"), 0.0).otherwise(1 - F.col("shared") / (F.col("both") - F.col("shared")))
