@@ -185,6 +185,23 @@ def test_masks_replace_spans_only(awkward, clashing):
     assert secrets.mask_secrets(docs).schema == docs.schema
 
 
+def test_private_keys_are_masked_whole(spark):
+    lines = [("MIIEpAIBAAKCAQEA+/xyz" + chr(65 + i)) * 3 for i in range(3)] + ["abcdEF12=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {}
+    for brk in ("\n", "\r\n", "\\n", "\n    "):
+        body = brk.join(lines)
+        texts[f"see{brk}{begin}{brk}{body}{brk}{end}{brk}and more"] = f"see{brk}[private_key]{brk}and more"
+        texts[f"see{brk}{begin}{brk}{body}"] = f"see{brk}[private_key]"
+        texts[f"{begin}{brk}Proc-Type: 4,ENCRYPTED{brk}DEK-Info: AES-128-CBC,00FF{brk}{brk}{body}{brk}{end}"] = "[private_key]"
+    texts["{0}\n{1}\nThen some words.".format(begin, "\n".join(lines))] = "[private_key]\nThen some words."
+    texts[f"{begin} {' '.join(lines[:3])} {end} x {begin}\n{lines[0]}\n{end}"] = "[private_key] x [private_key]"
+    texts[f"The line {begin} starts a key."] = "The line [private_key] starts a key."
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    assert [r.text for r in secrets.mask_secrets(docs).orderBy("doc_id").collect()] == list(texts.values())
+    assert secrets.trigram_query(secrets.MORE[0].pattern) is not True
+
+
 def test_postings_hold_what_rules_ask_for(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r.doc_id: r.text or "" for r in docs.collect()}

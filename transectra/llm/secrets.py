@@ -51,9 +51,16 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
-# Published token shapes of common services, and private-key headers.
+# A private key from its first line to its last; without one, to the end of its headers and base64 lines.
+# Lines may be parted by escaped line breaks or blanks.
+_KEY_ENDS = r"(?:(?!-----)[\s\S])*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_KEY_LINES = (
+    r"(?:(?:\s|\\[nr])+(?:Proc-Type|DEK-Info): [^\n\\]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})+"
+    r"(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]{1,15}={0,2}(?=\s*\Z|[ \t]*\r?\n|\\n))?"
+)
+# Published token shapes of common services, and private keys.
 MORE = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{_KEY_ENDS}|{_KEY_LINES})?"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
