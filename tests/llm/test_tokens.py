@@ -188,6 +188,19 @@ def test_spans_and_decoded_texts_are_the_librarys(given, awkward):
         assert r.decoded == model.decode(list(r.ids))
 
 
+def test_aligned_bytes_are_the_librarys_pieces(given, awkward):
+    path = public_path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    normaliser = pieces._normaliser(path)
+    assert not normaliser.map.units  # as the README says
+    for r in given("documents").unionByName(awkward).select("text").collect():
+        found = model.encode(r.text or "", return_type="proto").pieces
+        joined = b"".join(bytes([int(p.piece[3:5], 16)]) if model.is_byte(p.id) else p.piece.encode() for p in found)
+        aligned, origin = normaliser.align(r.text or "")
+        assert aligned == joined
+        assert len(origin) == len(aligned) + 1
+
+
 def compiled(pairs: dict[bytes, bytes]) -> bytes:
     """A character map for tests: a double array placed greedily."""
     import struct
