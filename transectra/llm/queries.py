@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, jaccard, language, packing, pieces, quality, secrets, tokenfile, urls, vectors
+from . import exact, interactions, jaccard, language, mixture, packing, pieces, quality, secrets, tokenfile, urls, variants, vectors
 from .frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,7 +89,21 @@ def op10_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.date_format("fetched", "yyyy-MM-dd").alias("fetched"), "blocked", "n_matches", "matched")
 
 
-QUERIES.update({f.__name__: f for f in (op1_quality, op2_vectors, op3_language, op4_packing, op5_token_file, op6_secrets, op7_exact_dedup, op8_pieces, op9_similar, op10_url_lists)})
+def op11_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.document_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES.update({f.__name__: f for f in (
+    op1_quality, op2_vectors, op3_language, op4_packing, op5_token_file, op6_secrets, op7_exact_dedup, op8_pieces, op9_similar,
+    op10_url_lists, op11_interactions, op12_mixture, op13_variants)})
 
 ORACLES["op7_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -163,3 +177,54 @@ hits AS (
 SELECT u.page_id, strftime(u.fetched, '%Y-%m-%d') AS fetched, h.n IS NOT NULL AS blocked, coalesce(h.n, 0) AS n_matches, h.m AS matched
 FROM u LEFT JOIN hits h ON h.page_id = u.page_id
 """
+
+ORACLES["op11_interactions"] = r"""
+WITH l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (
+  SELECT w.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > first, false)] AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, fails),
+a(i, v) AS (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+o AS (SELECT a.v || b.v || c.v || d.v || e.v AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS seq
+      FROM a, a AS b, a AS c, a AS d, a AS e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+z AS (SELECT c.*, o.*, list_min(list_filter([1, 2, 3, 4, 5], lambda k: fails[seq[k]])) AS gone FROM c, o),
+s AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM z),
+r AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS filter,
+         coalesce(sum(n) FILTER (gone IS NULL OR gone > step), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone < step AND fails[seq[step]]), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (fails[seq[step]] AND len(list_filter(fails, lambda b: b)) = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(g) FILTER (gone = step), 0)::BIGINT AS good_lost,
+         coalesce(sum(x) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY part, filter_order, step)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+ORACLES["op12_mixture"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s),
+f AS (
+  SELECT a.source, a.source_size, a.weight,
+         2 * sum(least(2 * b.source_size * a.weight, 2 * a.source_size * b.weight)) <= 3 * sum(b.source_size) * a.weight AS filled
+  FROM w a, w b GROUP BY a.source, a.source_size, a.weight),
+u AS (SELECT sum(source_size) AS total, sum(weight) AS weights, sum(CASE WHEN filled THEN 2 * source_size ELSE 0 END) AS taken,
+             sum(CASE WHEN filled THEN weight ELSE 0 END) AS used FROM f),
+t AS (SELECT source, source_size, CASE WHEN filled THEN (2 * source_size)::DOUBLE
+             ELSE (weight * (3 * total - 2 * taken))::DOUBLE / (2 * (weights - used))::DOUBLE END AS target
+      FROM f, u),
+p AS (SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) ELSE 0 END)::BIGINT AS taken
+FROM p
+"""
