@@ -1,96 +1,53 @@
 """Marker pairing by mutual nearest neighbours. Markers: ``chunk, pos, label, x, y, z``.
 
 A chunk may hold very many markers, and many at one position, so neighbours are
-found through a hierarchy of grids instead of by comparing all pairs.
+found through a tree of cells instead of by comparing all pairs.
 """
 
 from __future__ import annotations
 
-import math
+import sys
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance
 from ..functions.quantiles import exact_percentiles
 from ..joins import join_group_facts
-from ..session import durable
-
-FINEST_LEVEL = 40
+from ..session import durable, stored
+from . import octree
 
+_LARGEST = sys.float_info.max
 
 def reconstructed(markers: DataFrame) -> DataFrame:
     return markers.filter(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
 
 
-def _edge(level: Column) -> Column:
-    """Cell edge at a level, in units of the chunk's extent."""
-    return F.pow(F.lit(2.0), -level)
-
-
 def nearest_neighbours(markers: DataFrame) -> DataFrame:
     """Nearest other marker per reconstructed marker; equal distances go to the lowest ``pos``.
 
     Exact. Markers at the same position pair at distance zero without meeting each
-    other. For the rest, the finest grid level where a marker still shares its cell
-    bounds its neighbour's distance by that cell's diagonal; it then looks only at
-    cells one level coarser around it. A marker is alone one level below its own,
-    so a cell serves a bounded number of markers and the candidates grow linearly.
+    other; of the rest, one per position goes through the tree of :mod:`.octree`.
+    Markers with a coordinate that is no finite number have no neighbour. Runs jobs.
     """
+    finite = [F.col(a).between(-_LARGEST, _LARGEST) for a in "xyz"]
     pts = reconstructed(markers).select(
         "chunk", F.struct("pos", "label").alias("id"), *[F.col(a).cast("double").alias(a) for a in "xyz"]
-    )
+    ).filter(finite[0] & finite[1] & finite[2])
     at = ["chunk", "x", "y", "z"]
+    # The two least ids of a position: the least, and the least of all but that.
     w = Window.partitionBy(*at).orderBy("id")
     ranked = pts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= 2)
-    spots = ranked.groupBy(*at).agg(
+    spots = stored(ranked.groupBy(*at).agg(
         F.min(F.when(F.col("_r") == 1, F.col("id"))).alias("id"),
         F.min(F.when(F.col("_r") == 2, F.col("id"))).alias("second"),
-    )
-
+    ))
     shared_spots = spots.filter(F.col("second").isNotNull()).withColumnRenamed("id", "first")
     copies = join_group_facts(pts, shared_spots, at).select(
         "chunk", "id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("nn"),
         F.lit(0.0).alias("distance"),
     )
-
-    # Coordinates relative to the chunk's lower corner, scaled so that all fall in [0, 1).
-    corner = spots.groupBy("chunk").agg(
-        *[F.min(a).alias(f"_m{a}") for a in "xyz"],
-        F.greatest(*[F.max(a) - F.min(a) for a in "xyz"]).alias("_span"),
-    ).filter(F.col("_span") > 0)
-    scaled = join_group_facts(spots, corner, ["chunk"])
-    unit = lambda a: (F.col(a) - F.col(f"_m{a}")) / (F.col("_span") * F.lit(1.0 + 1e-9))
-    scaled = scaled.select(*at, "id", "second", "_span", *[unit(a).alias(f"u{a}") for a in "xyz"])
-    cell = lambda level: [F.floor(F.col(f"u{a}") / _edge(level)).alias(f"c{a}") for a in "xyz"]
-
-    levels = scaled.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(FINEST_LEVEL))))
-    shared = levels.select("chunk", "id", "level", *cell(F.col("level"))).groupBy("chunk", "level", "cx", "cy", "cz")
-    alone = shared.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter(F.col("n") == 1)
-    split = alone.groupBy("chunk", "id").agg((F.min("level") - 1).alias("shared_level"))
-    singles = scaled.filter(F.col("second").isNull()).join(split, ["chunk", "id"], "left")
-    singles = singles.withColumn("shared_level", F.coalesce("shared_level", F.lit(FINEST_LEVEL)))
-
-    reach = F.lit(math.sqrt(3.0) * (1.0 + 1e-6)) * _edge(F.col("shared_level"))
-    queries = singles.withColumns({"level": F.greatest(F.col("shared_level") - 1, F.lit(0)), "reach": reach})
-    for a in "xyz":
-        lo = F.greatest(F.floor((F.col(f"u{a}") - F.col("reach")) / _edge(F.col("level"))), F.lit(0))
-        hi = F.least(
-            F.floor((F.col(f"u{a}") + F.col("reach")) / _edge(F.col("level"))),
-            F.pow(F.lit(2.0), F.col("level")).cast("bigint") - 1,
-        )
-        queries = queries.withColumn(f"c{a}", F.explode(F.sequence(lo, hi)))
-    queries = queries.select(
-        "chunk", "level", "cx", "cy", "cz", "id", *[F.col(a).alias(f"q{a}") for a in "xyz"]
-    )
-    used = queries.select("chunk", "level").distinct()
-    stored = scaled.join(used, "chunk").select(
-        "chunk", "level", *cell(F.col("level")), F.col("id").alias("nn"), "x", "y", "z"
-    )
-    near = queries.join(stored, ["chunk", "level", "cx", "cy", "cz"]).filter(F.col("id") != F.col("nn"))
-    d = distance(*[F.col(f"q{a}") for a in "xyz"], *[F.col(a) for a in "xyz"])
-    best = near.groupBy("chunk", "id").agg(F.min(F.struct(d.alias("distance"), F.col("nn"))).alias("b"))
-    found = best.select("chunk", "id", "b.nn", "b.distance")
+    singles = spots.filter(F.col("second").isNull()).select("chunk", "id")
+    found = octree.nearest(spots.drop("second")).join(singles, ["chunk", "id"], "left_semi")
     return copies.unionByName(found).select(
         "chunk", F.col("id.pos").alias("pos"), F.col("id.label").alias("label"),
         F.col("nn.pos").alias("nn_pos"), F.col("nn.label").alias("nn_label"), "distance",
@@ -112,7 +69,7 @@ def mutual_pairs(neighbours: DataFrame) -> DataFrame:
     )
     median = exact_percentiles(pairs, ["chunk"], F.col("distance"), {"median_distance": 0.5})
     m, d = F.col("median_distance"), F.col("distance")
-    return pairs.join(median, "chunk").withColumn("is_outlier", ~d.between(F.lit(0.6) * m, F.lit(1.4) * m))
+    return join_group_facts(pairs, median, ["chunk"]).withColumn("is_outlier", ~d.between(F.lit(0.6) * m, F.lit(1.4) * m))
 
 
 def paired_labels(pairs: DataFrame) -> DataFrame:
