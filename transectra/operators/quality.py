@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import quality_band, quality_score
 from ..functions.quantiles import exact_percentiles
+from ..session import stored
 from ..profile import ReconstructionProfile
 
 _DEFAULTS = ReconstructionProfile()
@@ -25,8 +26,8 @@ def disable_low_quality(cameras: DataFrame, threshold: float = _DEFAULTS.image_q
 
 
 def quality_stats(cameras: DataFrame, threshold: float = _DEFAULTS.image_quality_threshold) -> DataFrame:
-    """Per chunk: analysed, scored, unscored and disabled counts, min, max, exact median."""
-    scored = cameras.select("chunk", quality_score(F.col("quality_raw")).alias("q"))
+    """Per chunk: analysed, scored, unscored and disabled counts, min, max, exact median. Scores are parsed once and stored."""
+    scored = stored(cameras.select("chunk", quality_score(F.col("quality_raw")).alias("q")))
     counts = scored.groupBy("chunk").agg(
         F.count(F.lit(1)).alias("analyzed"),
         F.count("q").alias("with_quality"),
