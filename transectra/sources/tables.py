@@ -9,6 +9,8 @@ from ..functions.text import (
     basename, blank_to_null, csv_cell, csv_number, has_extension, has_site_code, looks_like_site, strip, tag_text,
 )
 from ..profile import SurveyProfile
+from ..session import stored
+from .documents import json_objects, read_csv_split
 
 # Columns of the metadata export that are used.
 METADATA_COLUMNS = (
@@ -24,16 +26,27 @@ XMP_FIELDS = {
 }
 
 
-def read_csv_text(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    """CSV with a header, every column text, cells unchanged.
+def read_csv_text(spark: SparkSession, path, multi_line: bool = False, pos: str | None = None) -> DataFrame:
+    """CSV with a header, every column text, cells unchanged; ``pos`` names a column that is added in row order.
 
-    Files are split among tasks. ``multi_line`` accepts line breaks inside quotes at the
-    price of one task per file; turn it on for exports known to have some.
+    Files are split among tasks. ``multi_line`` accepts line breaks inside quotes, at the
+    price of passes that find where rows begin (runs jobs).
     """
-    return spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"',
+    if multi_line:
+        rows = read_csv_split(spark, path)
+        return rows.withColumnRenamed("_pos", pos) if pos else rows.drop("_pos")
+    rows = spark.read.csv(
+        path, header=True, inferSchema=False, quote='"', escape='"',
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\u0000", emptyValue="",
     )
+    return rows.withColumn(pos, line_order()) if pos else rows
+
+
+def read_json_objects(spark: SparkSession, path, schema: str, depth: int = 0, pos: str | None = None) -> DataFrame:
+    """Objects of JSON documents of any layout (see :func:`.documents.json_objects`) by ``schema``; a document is split among tasks."""
+    rows = json_objects(spark, path, depth)
+    order = [F.struct("file", "record").alias(pos)] if pos else []
+    return rows.select(F.from_json("text", schema).alias("_o"), *order).select("_o.*", *([pos] if pos else []))
 
 
 def require_columns(df: DataFrame, names, what: str) -> DataFrame:
@@ -85,8 +98,8 @@ def metadata_records(raw: DataFrame, pos: str = "pos") -> DataFrame:
 
 
 def read_metadata_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    raw = require_columns(read_csv_text(spark, path, multi_line), METADATA_COLUMNS, "metadata export")
-    return metadata_records(raw.withColumn("pos", line_order()).select(*METADATA_COLUMNS, "pos"))
+    raw = require_columns(read_csv_text(spark, path, multi_line, "pos"), METADATA_COLUMNS, "metadata export")
+    return metadata_records(raw.select(*METADATA_COLUMNS, "pos"))
 
 
 def manifest_records(raw: DataFrame, pos: str | None = None) -> DataFrame:
@@ -107,8 +120,7 @@ def manifest_records(raw: DataFrame, pos: str | None = None) -> DataFrame:
 
 
 def read_manifest_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
-    raw = require_columns(read_csv_text(spark, path, multi_line), ("url",), "manifest")
-    return manifest_records(raw.withColumn("pos", line_order()), "pos")
+    return manifest_records(require_columns(read_csv_text(spark, path, multi_line, "pos"), ("url",), "manifest"), "pos")
 
 
 def image_list_to_manifest(raw: DataFrame, site_code: str) -> DataFrame:
@@ -143,7 +155,7 @@ def catalogue_files(items: DataFrame, site: str, profile: SurveyProfile = Survey
 
 def read_catalogue(spark: SparkSession, path, site: str, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
     """Saved catalogue child items (JSON) to manifest rows; no matching item is an error."""
-    items = spark.read.schema(CATALOGUE_SCHEMA).json(path, multiLine=True)
+    items = stored(read_json_objects(spark, path, CATALOGUE_SCHEMA))
     if items.filter(looks_like_site(F.coalesce("title", F.lit("")), F.lit(site))).isEmpty():
         raise LookupError(f"no catalogue item matches site {site!r}")
     return catalogue_files(items, site, profile)
@@ -162,7 +174,7 @@ def xmp_records(raw: DataFrame, pos: str) -> DataFrame:
 
 def read_xmp_json(spark: SparkSession, path) -> DataFrame:
     schema = "SourceFile string, " + ", ".join(f"{c} string" for c in XMP_FIELDS.values())
-    return xmp_records(spark.read.schema(schema).json(path, multiLine=True).withColumn("pos", line_order()), "pos")
+    return xmp_records(read_json_objects(spark, path, schema, pos="pos"), "pos")
 
 
 PROVENANCE_SCHEMA = (
@@ -173,10 +185,15 @@ PROVENANCE_SCHEMA = (
 
 
 def read_provenance(spark: SparkSession, path: str | None, multi_line: bool = False) -> DataFrame:
-    """(name, sha256) from provenance envelopes, one per line or per file; no file means no rows."""
+    """(name, sha256) from provenance envelopes, one per line, or of any layout with ``multi_line``; no file means no rows.
+
+    With ``multi_line`` an envelope's file list is split among tasks: the objects inside the envelope that carry a name are its entries.
+    """
     if path is None:
         return spark.createDataFrame([], "name string, sha256 string")
-    docs = spark.read.schema(PROVENANCE_SCHEMA).json(path, multiLine=multi_line)
+    if multi_line:
+        return read_json_objects(spark, path, "name string, sha256 string", depth=1).filter("name IS NOT NULL")
+    docs = spark.read.schema(PROVENANCE_SCHEMA).json(path)
     return docs.select(F.explode("files").alias("f")).select("f.name", "f.sha256")
 
 
