@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basename, blank_to_null, has_extension, transect_token
 from ..profile import SurveyProfile
-from .tiff import with_tags
+from ..session import stored
+from .headers import reachable, with_entries
+from .tiff import tag_fields, with_tags
+
+#: Files whose headers, and bytes whose hash, make one task of ranged reads; and the most tasks.
+FILES_PER_TASK, BYTES_PER_TASK, MOST_TASKS = 2_000, 256 << 20, 100_000
 
 
 def _scan(spark: SparkSession, root: str, recursive: bool) -> DataFrame:
@@ -37,26 +42,46 @@ def _file_columns() -> list[Column]:
     ]
 
 
+def _by_ranges(files: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Listed files (path, name, ...) with tags by ranged reads; contents are read only of names without a known hash."""
+    files = stored(files.join(known, "name", "left") if known is not None else files.withColumn("_known", F.lit(None).cast("string")))
+    work = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_known").isNull(), F.col("size_bytes"))).alias("b")).first()
+    # The rows are tiny, so Spark would put them into one task; the bytes behind them say how many are needed.
+    tasks = min(MOST_TASKS, 1 + work["n"] // FILES_PER_TASK + (work["b"] or 0) // BYTES_PER_TASK)
+    dealt = files.repartition(int(tasks), "path").withColumnRenamed("_known", "sha256")
+    return tag_fields(with_entries(dealt))
+
+
 def catalogue_images(
     spark: SparkSession,
     root: str,
     known_hashes: DataFrame | None = None,
     profile: SurveyProfile = SurveyProfile(),
     site: Column | None = None,
+    ranged: bool | None = None,
 ) -> DataFrame:
     """One row per image under ``root``: identity, size, tags, SHA-256, read errors.
 
-    Each file is read once, for its tags, and hashed while its bytes are there. A hash
-    known from earlier provenance (name, sha256) takes the place of the computed one;
-    known rows are joined after the contents are gone, so no file content is ever
-    shuffled, however many hashes are known.
+    Tags are read by byte ranges where Arrow can open the store (``ranged``; by
+    default local and mounted folders), and a hash known from earlier provenance
+    (name, sha256) saves reading the content; ``bytes_read`` says what was read. The listing
+    is joined with known hashes before anything is opened (runs jobs). In stores that
+    only Spark opens, each file is read once, in the JVM, for tags and hash, and known rows are joined after the
+    contents are gone. Either way no file content is ever shuffled.
     """
-    files = _scan(spark, root, recursive=False).filter(has_extension(F.col("path"), profile.image_extensions))
-    files = files.withColumns({"name": _file_columns()[0], "relpath": _file_columns()[1]})
-    tagged = with_tags(files.withColumn("sha256", F.sha2("content", 256))).withColumnRenamed("length", "size_bytes").drop("content")
+    known = None
     if known_hashes is not None:
         known = known_hashes.groupBy("name").agg(F.max("sha256").alias("_known"))
-        tagged = tagged.join(known, "name", "left").withColumn("sha256", F.coalesce(blank_to_null(F.col("_known")), F.col("sha256")))
+        known = known.select("name", blank_to_null(F.col("_known")).alias("_known"))
+    if reachable(root) if ranged is None else ranged:
+        tagged = _by_ranges(list_images(spark, root, profile), known)
+    else:
+        files = _scan(spark, root, recursive=False).filter(has_extension(F.col("path"), profile.image_extensions))
+        files = files.withColumns({"name": _file_columns()[0], "relpath": _file_columns()[1]})
+        tagged = with_tags(files.withColumn("sha256", F.sha2("content", 256))).withColumnRenamed("length", "size_bytes").drop("content")
+        tagged = tagged.withColumn("bytes_read", F.col("size_bytes"))
+        if known is not None:
+            tagged = tagged.join(known, "name", "left").withColumn("sha256", F.coalesce("_known", "sha256"))
     site_col = site if site is not None else F.element_at(F.split("path", "/"), -2)
     return tagged.withColumn("site", site_col).drop("content", "_known", "modificationTime", "path")
 

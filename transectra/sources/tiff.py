@@ -23,6 +23,9 @@ GPS_TAGS = {"lat_ref": 1, "lat": 2, "lon_ref": 3, "lon": 4}
 # Bytes per TIFF field type, by type number (0 is unused).
 TYPE_SIZES = (None, 1, 1, 2, 4, 8, 1, 1, 2, 4, 8, 4, 8)
 
+#: Directory entries as a column: value as an unsigned number (short or long) and as hex.
+ENTRIES = "array<struct<tag: bigint, kind: bigint, n: bigint, number: bigint, hex: string>>"
+
 TAG_FIELDS = (
     "width", "height", "exif_make", "exif_model", "exif_artist", "exif_copyright", "exif_image_description",
     "exif_datetime_original", "gps_lat", "gps_lon", "software", "orientation",
@@ -92,26 +95,33 @@ def _angle(entry: Column, ref: Column, little: Column) -> Column:
 def with_tags(files: DataFrame, content: str = "content") -> DataFrame:
     """Add the tag fields and ``read_errors array<string>``; ``content`` is used up and dropped.
 
-    Staged selects keep each directory parsed once per file. ``DateTimeOriginal``
-    is looked up in the root directory first, then in the Exif directory.
+    Staged selects keep each directory parsed once per file. 32-bit files only.
     """
     body, little = F.col(content), F.col("_little")
     mark = F.hex(F.substring(body, 1, 4))
     staged = files.withColumn("_little", F.when(mark == "49492A00", True).when(mark == "4D4D002A", False))
     staged = staged.withColumn("_at", _number(F.hex(_slice(body, F.lit(4), 4)), little, 4))
     staged = staged.withColumn("_root", _directory(body, F.col("_at"), little, TAGS))
-    root, exif, gps = F.col("_root"), F.col("_exif"), F.col("_gps")
+    sub = lambda tag, wanted: _directory(body, _find(F.col("_root"), TAGS[tag])["number"], little, wanted)
+    staged = staged.withColumns({"_exif": sub("exif_ifd", TAGS), "_gps": sub("gps_ifd", GPS_TAGS)}).drop(content, "_at")
+    return tag_fields(staged.withColumn("_failed", F.lit(None).cast("string")))
+
+
+def tag_fields(staged: DataFrame) -> DataFrame:
+    """Typed fields of directory entries (``_little``, ``_root``, ``_exif``, ``_gps``, ``_failed``), which are used up.
+
+    ``DateTimeOriginal`` is looked up in the root directory first, then in the Exif directory.
+    """
+    little, root, exif, gps = F.col("_little"), F.col("_root"), F.col("_exif"), F.col("_gps")
     picked = {f"_{tag}": _find(root, number) for tag, number in TAGS.items()}
-    staged = staged.withColumns(picked)
-    sub = lambda tag, wanted: _directory(body, F.col(f"_{tag}")["number"], little, wanted)
-    staged = staged.withColumns({"_exif": sub("exif_ifd", TAGS), "_gps": sub("gps_ifd", GPS_TAGS)}).drop(content)
     picked_gps = {f"_{tag}": _find(gps, number) for tag, number in GPS_TAGS.items()}
-    staged = staged.withColumns({"_exif_date": _find(exif, TAGS["datetime_original"]), **picked_gps})
+    staged = staged.withColumns({**picked, "_exif_date": _find(exif, TAGS["datetime_original"]), **picked_gps})
 
     number = lambda tag: F.col(f"_{tag}")["number"]
     text = lambda tag: _text(F.col(f"_{tag}"))
     problem = (
-        F.when(little.isNull(), "not_a_valid_image: no TIFF header")
+        F.when(F.col("_failed").isNotNull(), F.col("_failed"))
+        .when(little.isNull(), "not_a_valid_image: no TIFF header")
         .when(root.isNull(), "not_a_valid_image: directory outside the file")
         .when(number("width").isNull() | number("height").isNull(), "not_a_valid_image: no image size")
     )
@@ -129,7 +139,7 @@ def with_tags(files: DataFrame, content: str = "content") -> DataFrame:
         "software": text("software"),
         "orientation": number("orientation").try_cast("int"),
     }
-    helpers = ["_little", "_at", "_root", "_exif", "_gps", "_exif_date", "_problem", *picked, *picked_gps]
+    helpers = ["_little", "_root", "_exif", "_gps", "_failed", "_exif_date", "_problem", *picked, *picked_gps]
     staged = staged.withColumn("_problem", problem)
     good = F.col("_problem").isNull()
     errors = F.when(good, F.array().cast("array<string>")).otherwise(F.array("_problem"))
