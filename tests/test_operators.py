@@ -209,6 +209,17 @@ def test_contact_sheet(spark):
         assert (r.x, r.y, r.sheet_name) == (8 + at % 6 * 228, 8 + at // 6 * 191, f"contact_sheet_{sheet + 1:03d}.jpg")
 
 
+def test_contact_sheets_are_numbered_per_site(spark):
+    """Equal names in two sites, and sites that no partition boundary respects."""
+    rows = [(site, f"img_{i:04d}.tif") for site, n in (("a", 40), ("b", 75), ("c", 1), (None, 2)) for i in range(n)]
+    random.Random(2).shuffle(rows)
+    placed = layout.contact_sheet_layout(spark.createDataFrame(rows, "site string, name string").repartition(5)).collect()
+    assert len(placed) == len(rows)
+    for r in placed:
+        i = int(r.name[4:8])
+        assert (r.i, r.sheet, r.sheet_name) == (i, i // 36, f"contact_sheet_{i // 36 + 1:03d}.jpg")
+
+
 def test_input_hashes(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:

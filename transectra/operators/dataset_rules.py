@@ -11,11 +11,13 @@ from ..functions.quantiles import exact_percentiles
 from ..functions.text import blank_to_null, details, filename_parts
 from ..joins import join_group_facts, merge_by_key
 from ..profile import SurveyProfile
-from ..session import durable
+from ..session import stored
 
 
 #: Entries of the lists in the findings' details; the whole lists are tables of their own.
 FIRST_GROUPS, FIRST_FIXES, FIRST_SMALL = 10, 10, 20
+#: Transects in the details of one site; a file name pattern allows few, but does not bound them.
+MOST_LISTED = 200
 
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -24,13 +26,6 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
 
 
-def _head_list(df: DataFrame, key: str, order: list, n: int, item) -> DataFrame:
-    """At most ``n`` items per key as one ordered array."""
-    top = first_n(df, [key], order, n)
-    packed = top.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_rn", item.alias("v")))).alias("_l"))
-    return packed.select(key, F.transform("_l", lambda s: s["v"]).alias("_heads"))
-
-
 def duplicate_groups(inventory: DataFrame) -> DataFrame:
     """Hashes carried by more than one file: site, sha256, files, first_name."""
     hashed = inventory.filter(F.col("sha256") != "")
@@ -64,11 +59,11 @@ def size_medians(inventory: DataFrame) -> DataFrame:
 def small_files(
     inventory: DataFrame, profile: SurveyProfile = SurveyProfile(), medians: DataFrame | None = None
 ) -> DataFrame:
-    """Files below the outlier fraction of their site's median size."""
-    medians = medians if medians is not None else size_medians(inventory)
+    """Files below the outlier fraction of their site's median size. ``medians`` are stored already, if given."""
     sized = inventory.filter(F.col("size_bytes") > 0).select("site", "name", "size_bytes")
     limit = F.col("median_bytes") * F.lit(profile.size_outlier_fraction)
-    return join_group_facts(sized, medians, ["site"]).filter(F.col("size_bytes") < limit)
+    joined = sized.join(medians, "site") if medians is not None else join_group_facts(sized, size_medians(inventory), ["site"])
+    return joined.filter(F.col("size_bytes") < limit)
 
 
 def transect_uuids(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
@@ -85,64 +80,94 @@ def transect_events(inventory: DataFrame, profile: SurveyProfile = SurveyProfile
     )
 
 
-def _site_counts(inventory: DataFrame) -> DataFrame:
-    return inventory.groupBy("site").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("csv_matched").alias("matched"),
-        F.count_if(F.col("sha256") != "").alias("hashed"),
-        F.count_if(F.col("size_bytes") > 0).alias("sized"),
-    )
-
+def _facets(inventory: DataFrame, profile: SurveyProfile) -> DataFrame:
+    """What the rules count, in one scan and one hash aggregation: rows (site, facet, t1, t2, d1, d2) with images, matched, sized. Stored.
 
-def _cameras(inventory: DataFrame) -> DataFrame:
-    pairs = inventory.filter((F.col("exif_make") != "") & (F.col("exif_model") != ""))
-    pairs = pairs.select("site", "exif_make", "exif_model").distinct()
-    return pairs.groupBy("site").agg(
-        F.count(F.lit(1)).alias("camera_pairs"), F.min("exif_make").alias("make"), F.min("exif_model").alias("model")
+    Facets: ``all``; ``hash`` (digest); ``camera`` (make, model); ``csv`` and ``exif`` fixes (lat, lon); ``event`` (transect, id).
+    """
+    c, text, number = F.col, F.lit(None).cast("string"), F.lit(None).cast("double")
+    transect = filename_parts(c("name"), profile.filename_pattern)["transect"]
+    one = lambda kind, on, t1=text, t2=text, d1=number, d2=number: F.when(on, F.struct(
+        F.lit(kind).alias("facet"), t1.alias("t1"), t2.alias("t2"), d1.alias("d1"), d2.alias("d2")))
+    fix = lambda kind, lat, lon: one(kind, c(lat).isNotNull() & c(lon).isNotNull(), d1=c(lat), d2=c(lon))
+    facets = F.array(
+        one("all", F.lit(True)), one("hash", c("sha256") != "", c("sha256")),
+        one("camera", (c("exif_make") != "") & (c("exif_model") != ""), c("exif_make"), c("exif_model")),
+        fix("csv", "csv_lat", "csv_lon"), fix("exif", "gps_lat", "gps_lon"),
+        one("event", transect.isNotNull(), transect, blank_to_null(c("csv_uuid"))),
     )
+    rows = inventory.select("site", "csv_matched", "size_bytes", F.explode(facets).alias("f")).filter(c("f").isNotNull())
+    return stored(rows.groupBy("site", "f.facet", "f.t1", "f.t2", "f.d1", "f.d2").agg(
+        F.count(F.lit(1)).alias("images"), F.count_if("csv_matched").alias("matched"),
+        F.count_if(c("size_bytes") > 0).alias("sized")))
 
 
 def site_measures(inventory: DataFrame, profile: SurveyProfile = SurveyProfile(), expected_sites: DataFrame | None = None):
     """One row per site with every number the dataset rules judge.
 
-    Scans the inventory several times, each time a few columns: pass a stored table.
+    One scan counts all facets, two find the median sizes, two the names of small files and of copies: pass a stored table.
+    Lists are cut to their first entries before a site's are put together.
     """
-    dups = duplicate_groups(inventory)
-    dup_heads = _head_list(dups, "site", [F.col("first_name"), F.col("sha256")], FIRST_GROUPS,
-                           F.struct("sha256", "files", "first_name")).withColumnRenamed("_heads", "dup_heads")
-    dup_sums = dups.groupBy("site").agg(F.count(F.lit(1)).alias("dup_groups"), F.sum("files").alias("dup_files"))
-
-    fixes = station_fixes(inventory, profile)
-    fix_heads = _head_list(fixes, "site", [F.col("lat"), F.col("lon")], FIRST_FIXES,
-                           F.struct("lat", "lon")).withColumnRenamed("_heads", "fix_heads")
-    fix_sums = fixes.groupBy("site").agg(
-        F.count(F.lit(1)).alias("fixes"), F.count_if(~F.col("inside")).alias("fixes_outside"),
-        F.min("source").alias("fix_source"),
+    c = F.col
+    facets = _facets(inventory, profile)
+    medians = stored(size_medians(inventory))
+    small = small_files(inventory, profile, medians).select(
+        "site", F.lit("small").alias("facet"), c("name").alias("first_name"), c("size_bytes").alias("images"))
+    transects = facets.filter("facet = 'event'").groupBy("site", c("t1").alias("first_name")).agg(
+        F.sum("images").alias("images"), F.count("t2").alias("matched")).withColumn("facet", F.lit("transect"))
+    rows = facets.filter("facet <> 'event'").withColumn("inside", in_box(c("d1"), c("d2"), profile))
+    rows = rows.unionByName(small, allowMissingColumns=True).unionByName(transects, allowMissingColumns=True)
+    # Texts are told apart here and by the lists only: a least text among the sums would make them sort.
+    makers = facets.filter("facet = 'camera'").groupBy("site").agg(F.min("t1").alias("make"), F.min("t2").alias("model"))
+    groups = facets.filter("facet = 'hash' AND images > 1").select("site", c("t1").alias("sha256"), c("images").alias("files"))
+    copies = join_group_facts(inventory.select("site", "sha256", "name"), groups, ["site", "sha256"])
+    copies = copies.groupBy("site", c("sha256").alias("t1")).agg(F.min("name").alias("first_name"), F.count(F.lit(1)).alias("images")).withColumn("facet", F.lit("copies"))
+
+    of = lambda kind, value: F.when(c("facet") == kind, value)
+    total = lambda kind, value="images": F.coalesce(F.sum(of(kind, c(value))), F.lit(0))
+    kinds = lambda kind, on=F.lit(True): F.count_if((c("facet") == kind) & on)
+    again = c("images") > 1
+    sums = rows.groupBy("site").agg(
+        total("all").alias("n"), total("all", "matched").alias("matched"), total("hash").alias("hashed"), total("all", "sized").alias("sized"),
+        kinds("camera").alias("camera_pairs"),
+        kinds("hash", again).alias("dup_groups"), F.coalesce(F.sum(F.when((c("facet") == "hash") & again, c("images"))), F.lit(0)).alias("dup_files"),
+        *[kinds(k).alias(f"{k}_fixes") for k in ("csv", "exif")], *[kinds(k, ~c("inside")).alias(f"{k}_outside") for k in ("csv", "exif")],
+        kinds("small").alias("small_files"), kinds("transect").alias("n_transects"), total("transect").alias("named"),
+        total("transect", "matched").alias("uuid_entries"), kinds("transect", c("matched") > 1).alias("multi_event_transects"),
     )
-
-    medians = durable(size_medians(inventory))
-    small = small_files(inventory, profile, medians)
-    small_heads = _head_list(small, "site", [F.col("name")], FIRST_SMALL,
-                             F.struct("name", "size_bytes")).withColumnRenamed("_heads", "small_heads")
-    small_sums = small.groupBy("site").agg(F.count(F.lit(1)).alias("small_files"))
-
-    events = transect_events(inventory, profile)
-    # Whole: one entry per transect token of a site, of which the file name pattern allows few.
-    event_sums = events.groupBy("site").agg(
-        F.sort_array(F.collect_list(F.struct("transect", "count", "uuid_count"))).alias("transects"),
-        F.count(F.lit(1)).alias("n_transects"),
-        F.sum("count").alias("named"),
-        F.sum("uuid_count").alias("uuid_entries"),
-        F.count_if(F.col("uuid_count") > 1).alias("multi_event_transects"),
+    by_csv = c("csv_fixes") > 0
+    sums = sums.withColumns({
+        "fixes": F.when(by_csv, c("csv_fixes")).otherwise(c("exif_fixes")), "fixes_outside": F.when(by_csv, c("csv_outside")).otherwise(c("exif_outside")),
+        "fix_source": F.when(by_csv, "CSV").when(c("exif_fixes") > 0, "EXIF"),
+    })
+
+    listed = rows.filter(c("facet").isin("csv", "exif", "small", "transect")).unionByName(copies, allowMissingColumns=True)
+    # Offending transects are a list of their own, so that none hides behind the first ones.
+    listed = listed.unionByName(listed.filter("facet = 'transect' AND matched > 1").withColumn("facet", F.lit("offending")))
+    heads = first_n(listed, ["site", "facet"], [c("first_name"), c("t1"), c("d1"), c("d2")], MOST_LISTED)
+    packed = lambda kind, item: F.transform(
+        F.sort_array(F.collect_list(of(kind, F.struct("_rn", item.alias("v"))))), lambda s: s["v"])
+    within = (c("facet").isin("transect", "offending")) | (c("_rn") <= F.when(c("facet") == "small", FIRST_SMALL).when(
+        c("facet") == "copies", FIRST_GROUPS).otherwise(FIRST_FIXES))
+    fix = F.struct(c("d1").alias("lat"), c("d2").alias("lon"))
+    heads = heads.filter(within).groupBy("site").agg(
+        packed("copies", F.struct(c("t1").alias("sha256"), c("images").alias("files"), "first_name")).alias("dup_heads"),
+        packed("csv", fix).alias("csv_heads"), packed("exif", fix).alias("exif_heads"),
+        packed("small", F.struct(c("first_name").alias("name"), c("images").alias("size_bytes"))).alias("small_heads"),
+        packed("transect", F.struct(c("first_name").alias("transect"), c("images").alias("count"), c("matched").alias("uuid_count"))).alias("transects"),
+        packed("offending", c("first_name")).alias("offending"),
     )
-
-    parts = [_site_counts(inventory), _cameras(inventory), dup_sums, dup_heads, fix_sums, fix_heads, medians, small_sums,
-             small_heads, event_sums]
+    parts = [sums, makers, heads, medians]
     if expected_sites is not None:
         parts.append(expected_sites.select("site").distinct())
     out = merge_by_key(parts, "site")
+    out = out.withColumn("fix_heads", F.when(c("csv_fixes") > 0, c("csv_heads")).otherwise(c("exif_heads")))
     zero = ("n", "matched", "hashed", "sized", "camera_pairs", "dup_groups", "dup_files", "fixes", "fixes_outside",
             "small_files", "n_transects", "named", "uuid_entries", "multi_event_transects")
+    out = out.withColumn("offending", F.when(F.size("transects") > 0, c("offending")))
+    # No list rather than an empty one where the site has none of its kind.
+    for name in ("dup_heads", "fix_heads", "small_heads", "transects"):
+        out = out.withColumn(name, F.when(F.size(name) > 0, c(name)))
     return out.fillna(0, subset=list(zero))
 
 
@@ -186,7 +211,7 @@ def dataset_findings(
             F.when(c("n_transects") == 0, "unverified").when(c("uuid_entries") == 0, "unverified")
             .when(c("multi_event_transects") > 0, "fail").otherwise("ok"),
             details(transects=c("transects"), multi_event_transects=c("multi_event_transects"),
-                    offending=F.transform(F.filter("transects", lambda t: t["uuid_count"] > 1), lambda t: t["transect"]),
+                    offending=c("offending"),
                     no_filename_match_count=c("n") - c("named")),
         ),
     }

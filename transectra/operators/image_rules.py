@@ -119,15 +119,18 @@ def severities(p: SurveyProfile) -> Column:
     return F.when(F.size("read_errors") > 0, F.array(one(READ_ERRORS))).otherwise(F.array(*[one(r) for r in RULES]))
 
 
+def worst_of(found: Column) -> Column:
+    """(order, pos, severity) of the worst of an image's findings: the highest rank wins, among equals the first rule."""
+    return F.array_min(F.transform(found, lambda f, i: F.struct(
+        (-severity_rank(f["severity"])).alias("order"), i.alias("pos"), f["severity"].alias("severity"))))
+
+
 def image_verdicts(inventory: DataFrame, profile: SurveyProfile = SurveyProfile()) -> DataFrame:
     """Worst finding of every image (site, scope, pos, severity, rank) straight from its inventory row.
 
-    Equals ``worst_per_file`` of the findings table, without exploding or shuffling:
-    the highest rank wins, among equals the first rule.
+    Equals ``worst_per_file`` of the findings table, without exploding or shuffling.
     """
-    ranked = F.transform(severities(profile), lambda f, i: F.struct(
-        (-severity_rank(f["severity"])).alias("order"), i.alias("pos"), f["severity"].alias("severity")))
-    judged = evidence(inventory, profile).select("*", F.array_min(ranked).alias("w"))
+    judged = evidence(inventory, profile).select("*", worst_of(severities(profile)).alias("w"))
     return judged.select(
         *(["site"] if "site" in inventory.columns else []), F.col("name").alias("scope"), F.lit("image").alias("scope_kind"),
         "w.pos", "w.severity", (-F.col("w.order")).alias("rank"),

@@ -1,50 +1,34 @@
-"""Contact-sheet layout and global row positions."""
+"""Contact-sheet layout."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prefix import running_sums
 from ..functions.text import caption
-from ..session import durable
-
-
-def global_positions(df: DataFrame, order: str, name: str = "pos", total: str = "total") -> DataFrame:
-    """Number rows 0.. in the order of a column, without one task seeing them all.
-
-    Rows are range-partitioned and sorted; the row's number inside its partition
-    is added to the count of rows in earlier partitions (one small row per
-    partition). The sorted rows are checkpointed first, because both reads must
-    see the same partitions even if an executor is lost in between.
-    """
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    marked = durable(ranged.withColumn("_id", F.monotonically_increasing_id()))
-    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    marked = marked.withColumns({"_part": part, "_row": row}).drop("_id")
-    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per partition: bounded by the number of partitions, not by the data.
-    w = Window.orderBy("_part")
-    offsets = sizes.select(
-        "_part", (F.sum("_n").over(w) - F.col("_n")).alias("_offset"), F.sum("_n").over(Window.partitionBy()).alias(total)
-    )
-    placed = marked.join(F.broadcast(offsets), "_part")
-    return placed.withColumn(name, F.col("_offset") + F.col("_row")).drop("_part", "_row", "_offset")
 
 
 def contact_sheet_layout(
     images: DataFrame, cols: int = 6, rows: int = 6, tile_w: int = 220, tile_h: int = 165, margin: int = 8,
     caption_h: int = 18, prefix: str = "contact_sheet",
 ) -> DataFrame:
-    """Sheet, cell, pixel offset and caption of every image, in name order."""
+    """Sheet, cell, pixel offset and caption of every image, in name order; every ``site``, if there is one, has sheets of its own.
+
+    Positions are running counts over range partitions, so a site may span many
+    partitions and a partition hold many sites. Runs jobs.
+    """
     per_sheet = cols * rows
-    placed = global_positions(images.select("name"), "name", "i", "n").withColumns({
+    sites = [c for c in ("site",) if c in images.columns]
+    placed = running_sums(images.select(*sites, "name"), sites, ["name"], {"i": F.lit(1)})
+    placed = placed.select(*sites, "name", F.col("i_before").alias("i"), F.col("i_all").alias("n")).withColumns({
         "sheet": F.expr(f"i div {per_sheet}"),
         "_at": F.col("i") % per_sheet,
         "_pad": F.greatest(F.lit(3), F.length(F.expr(f"(n + {per_sheet - 1}) div {per_sheet}").cast("string"))),
     })
     placed = placed.withColumns({"row": F.expr(f"_at div {cols}"), "col": F.col("_at") % cols})
     return placed.select(
-        "name", "i", "sheet", "row", "col",
+        *sites, "name", "i", "sheet", "row", "col",
         (F.lit(margin) + F.col("col") * (tile_w + margin)).alias("x"),
         (F.lit(margin) + F.col("row") * (tile_h + caption_h + margin)).alias("y"),
         F.concat(F.lit(f"{prefix}_"), F.expr("lpad(cast(sheet + 1 as string), _pad, '0')"), F.lit(".jpg")).alias("sheet_name"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.classify import SEVERITIES, SEVERITY_RANK
 from ..joins import merge_by_key
 from ..profile import SurveyProfile
-from .image_rules import image_verdicts
+from ..session import stored
+from .image_rules import evidence, image_findings, image_verdicts, severities, worst_of
 
 
 def all_findings(dataset: DataFrame, images: DataFrame) -> DataFrame:
@@ -83,30 +84,63 @@ def strict_gate(findings: DataFrame, strict: bool = True) -> DataFrame:
     return overall_severity(findings).withColumn("blocked", blocked)
 
 
+def _site_counts(inventory: DataFrame, profile: SurveyProfile) -> DataFrame:
+    """Per site: images by worst severity, and totals. One scan without exploding; stored."""
+    verdicts = evidence(inventory, profile).select("site", "csv_matched", "size_bytes", worst_of(severities(profile))["severity"].alias("worst"))
+    return stored(verdicts.groupBy("site").agg(
+        *[F.count_if(F.col("worst") == s).alias(f"worst_{s}") for s in SEVERITIES],
+        F.count(F.lit(1)).alias("image_count"), F.count_if("csv_matched").alias("csv_join_count"), F.sum("size_bytes").alias("total_bytes")))
+
+
+def _site_severity(dataset: DataFrame, sites: DataFrame, inventory: DataFrame, profile: SurveyProfile) -> DataFrame:
+    """``overall_severity`` of dataset findings and images, from counts of worst severities per site.
+
+    Only where dataset findings are milder and images of two severities share the highest rank
+    do image names decide; only then, and for these sites, are images looked at again.
+    """
+    first = dataset.groupBy("site").agg(F.min(F.struct((-F.col("rank")).alias("order"), "pos", "severity")).alias("d"))
+    worst = sites.select("site", *[f"worst_{s}" for s in SEVERITIES])
+    both = merge_by_key([first, worst], "site")
+    rank, image, several = F.lit(-1), F.lit(None).cast("string"), F.lit(False)
+    for level in sorted(set(SEVERITY_RANK.values())):
+        names = [s for s in SEVERITIES if SEVERITY_RANK[s] == level]
+        here = sum((F.coalesce((F.col(f"worst_{s}") > 0).cast("int"), F.lit(0)) for s in names), F.lit(0))
+        rank = F.when(here > 0, level).otherwise(rank)
+        several = F.when(here > 0, here > 1).otherwise(several)
+        for s in names:
+            image = F.when(F.col(f"worst_{s}") > 0, s).otherwise(image)
+    data_rank = F.coalesce(-F.col("d.order"), F.lit(-1))
+    both = stored(both.select(
+        "site", F.when(data_rank >= rank, F.col("d.severity")).otherwise(image).alias("overall_severity"), ((data_rank < rank) & several).alias("open")))
+    undecided = both.filter("open").select("site")
+    if undecided.isEmpty():
+        return both.drop("open")
+    verdicts = image_verdicts(inventory.join(undecided, "site", "left_semi"), profile)
+    return both.filter("not open").drop("open").unionByName(overall_severity(verdicts))
+
+
 def report_headers(
-    inventory: DataFrame, dataset: DataFrame, images: DataFrame, doi: str, profile: SurveyProfile = SurveyProfile(),
+    inventory: DataFrame, dataset: DataFrame, doi: str, profile: SurveyProfile = SurveyProfile(),
     context: dict[str, str] | None = None,
 ) -> DataFrame:
     """One report document per site: scalars, dataset findings, rollup.
 
-    ``images`` is the findings table of the same inventory. Only bounded parts are nested (seven dataset findings, at most twelve rules);
-    per-image findings and file lists stay tables beside it.
+    Images are judged twice, once for worst severities (stored; runs jobs) and once for the rollup, each a hash aggregation over narrow
+    columns. Only bounded parts are nested (seven dataset findings, at most twelve rules); per-image findings and file lists stay tables beside it.
     """
-    verdicts = image_verdicts(inventory, profile)
-    judged = ["site", "scope", "scope_kind", "pos", "severity", "rank"]
-    worst = overall_severity(dataset.select(*judged).unionByName(verdicts.select(*judged)))
-    counts = verdicts.groupBy("site").agg(
-        F.count_if(F.col("severity") == "fail").alias("failed_file_count"),
-        F.count_if(F.col("severity") == "warn").alias("warned_file_count"),
-    )
+    dataset = stored(dataset)
+    sites = _site_counts(inventory, profile)
+    worst = _site_severity(dataset, sites, inventory, profile)
+    counts = sites.select(
+        "site", "image_count", "csv_join_count", "total_bytes", F.col("worst_fail").alias("failed_file_count"), F.col("worst_warn").alias("warned_file_count"))
     nested = dataset.groupBy("site").agg(F.sort_array(F.collect_list(
         F.struct("pos", "code", "severity", "message", "scope", "details"))).alias("dataset_findings"))
-    per_rule = rollup(images, ["site"]).groupBy("site").agg(F.map_from_entries(F.sort_array(F.collect_list(
+    per_rule = rollup(image_findings(inventory, profile), ["site"]).groupBy("site").agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct("code", F.struct(*SEVERITIES))))).alias("per_image_findings_rollup"))
     lineage = profile.lineage()
     absent = lineage["fields_absent_by_design"]
     texts = lambda values: F.array(*[F.lit(v) for v in values])
-    out = merge_by_key([worst, totals(inventory), counts, nested, per_rule], "site")
+    out = merge_by_key([worst, counts, nested, per_rule], "site")
     out = out.fillna(0, subset=["image_count", "csv_join_count", "total_bytes", "failed_file_count", "warned_file_count"])
     return out.withColumns({
         "schema": F.lit("transectra/intake_qc/v2"),

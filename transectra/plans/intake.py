@@ -85,7 +85,7 @@ def validate_intake(
     context = {
         "site_dir": site_dir, "package_version": __version__, "hostname": platform.node(), "ids_csv_path": ids_csv_path or "", **(context or {}),
     }
-    headers = report_headers(inventory, dataset, images, doi, profile, context)
+    headers = report_headers(inventory, dataset, doi, profile, context)
     check = F.lit(None).cast(MANIFEST_CHECK)
     if manifest is not None:
         manifest_coverage(manifest, inventory).write.mode("overwrite").parquet(f"{out_dir}/manifest_coverage")

@@ -202,6 +202,76 @@ def expected_sites(v):
     return dataset_rules.dataset_findings(stored(v), P, sites).select("site", "pos", "code", "severity")
 
 
+# What the findings say in their details, by rule: evidence as text, coordinates as numbers.
+_SAYS = {
+    "csv_join": {"image_id": "image_id"}, "software_lineage": {"software": "software"},
+    "camera_consistency": {
+        "make": f"coalesce({_or('csv_cammake', 'exif_make')}, '')", "model": f"coalesce({_or('csv_cammodel', 'exif_model')}, '')",
+        "source": "CASE WHEN csv_cammake <> '' THEN 'CSV' ELSE 'EXIF' END"},
+    "dimensions": {"width": "width", "height": "height"},
+    "exif_artist": {"actual": _or("csv_artist", "exif_artist"), "expected": f"'{P.artist}'", "source": "CASE WHEN csv_artist <> '' THEN 'CSV' ELSE 'EXIF' END"},
+    "exif_copyright": {
+        "actual": _or("csv_copyright", "exif_copyright"), "expected": f"'{P.copyright}'", "source": "CASE WHEN csv_copyright <> '' THEN 'CSV' ELSE 'EXIF' END"},
+    "datetime_original": {"dtoriginal_utc": "csv_dtoriginal_utc"},
+    "gps_present": {"lat": "coalesce(csv_lat, gps_lat)", "lon": "coalesce(csv_lon, gps_lon)", "source": "CASE WHEN csv_lat IS NOT NULL THEN 'CSV' ELSE 'EXIF' END"},
+    "xmp_attribution_url": {"actual": "xmp_attribution_url", "expected": f"'{P.attribution_url}'"},
+    "iptc_credit": {"actual": "iptc_credit", "artist": _or("csv_artist", "exif_artist"), "copyright": _or("csv_copyright", "exif_copyright")},
+}
+_TYPES = {f: "DOUBLE" if f in ("lat", "lon") else "VARCHAR" for fields in _SAYS.values() for f in fields}
+_says = " UNION ALL ".join(
+    f"SELECT site, name AS scope, '{code}' AS code, " + ", ".join(f"CAST({fields.get(f, 'NULL')} AS {t}) AS {f}" for f, t in _TYPES.items())
+    + " FROM inv WHERE read_error IS NULL" for code, fields in _SAYS.items())
+_MESSAGES = " ".join(f"WHEN i.code = '{r.code}' AND severity = '{s}' THEN '{m}'" for r in image_rules.RULES for s, m in r.messages.items())
+
+
+@query("image_finding_details", f"""WITH {IMG}, d AS ({_says})
+  SELECT d.*, CASE {_MESSAGES} END AS message FROM d JOIN img AS i ON i.site = d.site AND i.scope = d.scope AND i.code = d.code""")
+def image_finding_details(v):
+    schema = ", ".join(f"{f} {t.replace('VARCHAR', 'string').lower()}" for f, t in _TYPES.items())
+    found = image_rules.image_findings(build(v), P).filter(F.col("code").isin(*_SAYS))
+    return found.select("site", "scope", "code", F.from_json("details", schema).alias("d"), "message").select("site", "scope", "code", "d.*", "message")
+
+
+_list = lambda item, order, n, source: (
+    f"(SELECT array_to_string(list_slice(list({item} ORDER BY {order}), 1, {n}), ',') FROM {source} AS x WHERE x.site = m.site)")
+
+
+@query("dataset_finding_details", f"""WITH {DS}
+  SELECT m.site, m.n AS count, m.pairs, m.dup_groups AS groups, CAST((SELECT sum(files) FROM dup WHERE dup.site = m.site) AS BIGINT) AS files,
+    m.fixes AS unique_fixes, m.fixes_outside AS outside, (SELECT min(source) FROM fix WHERE fix.site = m.site) AS source,
+    CAST(floor(med.median_bytes) AS BIGINT) AS median_bytes, CAST(floor(med.median_bytes * CAST(0.4 AS DOUBLE)) AS BIGINT) AS threshold_bytes,
+    m.small_files AS outliers, m.matched, CAST(100.0 AS DOUBLE) * m.matched / m.n AS pct, m.multi AS multi_event_transects,
+    m.n - (SELECT CAST(coalesce(sum("count"), 0) AS BIGINT) FROM tr WHERE tr.site = m.site) AS no_filename_match_count,
+    {_list("sha256 || ':' || files || ':' || first_name", "first_name, sha256", dataset_rules.FIRST_GROUPS, "dup")} AS first_groups,
+    {_list("lat || ' ' || lon", "lat, lon", dataset_rules.FIRST_FIXES, "fix")} AS first_fixes,
+    {_list("name || ':' || size_bytes", "name", dataset_rules.FIRST_SMALL, "small")} AS examples,
+    {_list("transect || ':' || \"count\" || ':' || uuid_count", "transect", dataset_rules.MOST_LISTED, "tr")} AS transects,
+    CASE WHEN m.n_transects > 0 THEN coalesce({_list("transect", "transect", dataset_rules.MOST_LISTED, "(SELECT * FROM tr WHERE uuid_count > 1)")}, '') END AS offending
+  FROM msr AS m LEFT JOIN med ON med.site = m.site""")
+def dataset_finding_details(v):
+    number = {"count": "file_count", "pairs": "dataset_camera_consistency", "groups": "hash_uniqueness", "files": "hash_uniqueness",
+              "unique_fixes": "gps_consistency", "outside": "gps_consistency", "median_bytes": "size_outliers", "threshold_bytes": "size_outliers",
+              "outliers": "size_outliers", "matched": "csv_coverage", "multi_event_transects": "subsite_cross_reference",
+              "no_filename_match_count": "subsite_cross_reference"}
+    lists = {"first_groups": ("hash_uniqueness", "sha256 string, files bigint, first_name string", ":"), "first_fixes": ("gps_consistency", "lat double, lon double", " "),
+             "examples": ("size_outliers", "name string, size_bytes bigint", ":"),
+             "transects": ("subsite_cross_reference", "transect string, count bigint, uuid_count bigint", ":")}
+    of = lambda code, value: F.max(F.when(F.col("code") == code, value))
+    read = lambda field, kind: F.from_json("details", f"{field} {kind}")[field]
+
+    def entries(field, schema, mark):
+        names = [x.split()[0] for x in schema.split(", ")]
+        array = read(field, f"array<struct<{', '.join(x.replace(' ', ': ') for x in schema.split(', '))}>>")
+        return F.array_join(F.transform(array, lambda e: F.concat_ws(mark, *[e[n].cast("string") for n in names])), ",")
+
+    found = dataset_rules.dataset_findings(stored(v), P)
+    return found.groupBy("site").agg(
+        *[of(code, read(f, "bigint")).alias(f) for f, code in number.items()], of("gps_consistency", read("source", "string")).alias("source"),
+        of("csv_coverage", read("pct", "double")).alias("pct"), *[of(code, entries(f, schema, mark)).alias(f) for f, (code, schema, mark) in lists.items()],
+        of("subsite_cross_reference", F.array_join(read("offending", "array<string>"), ",")).alias("offending"),
+    ).withColumn("files", F.when(F.col("groups") > 0, F.col("files")))
+
+
 @query("file_count", f"WITH {INV} SELECT site, count(*) AS n, count(*) BETWEEN {P.file_count_min} AND {P.file_count_max} AS in_range FROM inv GROUP BY site")
 def file_count(v):
     n = report.totals(build(v)).select("site", F.col("image_count").alias("n"))
@@ -324,8 +394,7 @@ def inventory_totals(v):
         count(*) FILTER (WHERE severity = 'warn') AS warned_file_count FROM w GROUP BY site) AS f ON o.site = f.site""")
 def report_headers(v):
     inv = stored(v)
-    ds, img = dataset_rules.dataset_findings(inv, P), image_rules.image_findings(inv, P)
-    return report.report_headers(inv, ds, img, "doi", P).select(
+    return report.report_headers(inv, dataset_rules.dataset_findings(inv, P), "doi", P).select(
         "site", "overall_severity", "image_count", "total_bytes", "failed_file_count", "warned_file_count"
     )
 
@@ -392,8 +461,8 @@ def capture_time(v):
     return v("metadata").select("pos", ts.cast("string").alias("ts"), classify.in_window(ts, P.date_min, P.date_max).alias("in_window"))
 
 
-@query("contact_sheet_layout", f"""WITH {ctes('files')}, o AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS n FROM v_files)
-  SELECT name, i, i // 36 AS sheet, (i % 36) // 6 AS "row", (i % 36) % 6 AS col, 8 + (i % 36) % 6 * 228 AS x, 8 + (i % 36) // 6 * 191 AS y,
+@query("contact_sheet_layout", f"""WITH {ctes('files')}, o AS (SELECT site, name, row_number() OVER (PARTITION BY site ORDER BY name) - 1 AS i, count(*) OVER (PARTITION BY site) AS n FROM v_files)
+  SELECT site, name, i, i // 36 AS sheet, (i % 36) // 6 AS "row", (i % 36) % 6 AS col, 8 + (i % 36) % 6 * 228 AS x, 8 + (i % 36) // 6 * 191 AS y,
   'contact_sheet_' || lpad(CAST(i // 36 + 1 AS VARCHAR), CAST(greatest(3, length(CAST((n + 35) // 36 AS VARCHAR))) AS INTEGER), '0') || '.jpg' AS sheet_name,
   CASE WHEN length(name) > 31 THEN substr(name, 1, 30) || '…' ELSE name END AS caption FROM o""")
 def contact_sheet_layout(v):
