@@ -16,7 +16,8 @@ from transectra.plans.reconstruction import align_record, dsm_record, filter_rec
 from transectra.sinks import artefacts
 from transectra.sources import tables
 from transectra.sources.telemetry import read_telemetry
-from transectra.streaming.intake import start_intake
+from transectra.streaming import ledger
+from transectra.streaming.intake import read_intake, start_intake
 from transectra.streaming.telemetry import read_summary, start_summary, telemetry_stream
 
 METADATA = "image_id,uuid,preservedfilename,cammake,cammodel,artist,copyright,dtoriginal,lat,lng\n"
@@ -219,9 +220,44 @@ def test_incremental_intake(spark, tmp_path):
     (folder / "c.txt").write_bytes(b"x")
     run()
     run()
-    rows = {r.name: r for r in spark.read.parquet(str(tmp_path / "cat")).collect()}
+    rows = {r.name: r for r in read_intake(spark, str(tmp_path / "cat")).collect()}
     assert set(rows) == {"a.tif", "b.tif"} and rows["a.tif"].exif_make == "Canon" and rows["b.tif"].read_errors
-    assert rows["a.tif"].sha256 == hashlib.sha256(tiff(BASE)).hexdigest() and {r.batch for r in rows.values()} == {0, 1}
+    assert rows["a.tif"].sha256 == hashlib.sha256(tiff(BASE)).hexdigest()
+    batches = ledger.read_ledger(spark, str(tmp_path / "cat")).orderBy("batch").collect()
+    assert [(r.batch, r["rows"]) for r in batches] == [(0, 1), (1, 1)]
+
+
+def test_a_batch_that_dies_before_its_ledger_row_was_never_there(spark, tmp_path):
+    folder, out = tmp_path / "in" / "S", str(tmp_path / "cat")
+    folder.mkdir(parents=True)
+    for i in range(3):
+        (folder / f"{i}.tif").write_bytes(tiff(BASE) + bytes([i]))
+
+    def die():
+        raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        start_intake(spark, str(folder), out, str(tmp_path / "ck"), before_ledger=die).awaitTermination()
+    assert (tmp_path / "cat" / "data").is_dir() and read_intake(spark, out) is None
+    start_intake(spark, str(folder), out, str(tmp_path / "ck")).awaitTermination()
+    names = lambda: sorted(r.name for r in read_intake(spark, out).collect())
+    assert names() == ["0.tif", "1.tif", "2.tif"]
+    assert ledger.remove_unfinished(spark, out) == 1 and ledger.remove_unfinished(spark, out) == 0
+    # Another checkpoint starts from nothing and adds only what is new.
+    (folder / "3.tif").write_bytes(tiff(BASE))
+    start_intake(spark, str(folder), out, str(tmp_path / "other")).awaitTermination()
+    assert names() == ["0.tif", "1.tif", "2.tif", "3.tif"]
+
+
+def test_a_batch_that_died_after_its_ledger_row_adds_nothing_again(spark, tmp_path):
+    out = str(tmp_path / "cat")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "path string, v int")
+    ledger.commit(rows, out, "s", 0)
+    assert ledger.unseen(rows, out, "s", 0, "path").isEmpty()
+    assert ledger.unseen(rows, out, "s", 1, "path").count() == 2  # its own checkpoint's business
+    assert ledger.unseen(rows.unionByName(spark.createDataFrame([("c", 3)], rows.schema)), out, "t", 5, "path").collect() == [("c", 3)]
+    assert sorted(map(tuple, ledger.read_committed(spark, out).collect())) == [("a", 1), ("b", 2)]
+    assert ledger.remove_unfinished(spark, str(tmp_path / "none")) == 0
 
 
 def test_empty_coverage(spark):

@@ -42,7 +42,7 @@ def _file_columns() -> list[Column]:
     ]
 
 
-def _by_ranges(files: DataFrame, known: DataFrame | None) -> DataFrame:
+def tags_by_ranges(files: DataFrame, known: DataFrame | None) -> DataFrame:
     """Listed files (path, name, ...) with tags by ranged reads; contents are read only of names without a known hash."""
     files = stored(files.join(known, "name", "left") if known is not None else files.withColumn("_known", F.lit(None).cast("string")))
     work = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_known").isNull(), F.col("size_bytes"))).alias("b")).first()
@@ -74,7 +74,7 @@ def catalogue_images(
         known = known_hashes.groupBy("name").agg(F.max("sha256").alias("_known"))
         known = known.select("name", blank_to_null(F.col("_known")).alias("_known"))
     if reachable(root) if ranged is None else ranged:
-        tagged = _by_ranges(list_images(spark, root, profile), known)
+        tagged = tags_by_ranges(list_images(spark, root, profile), known)
     else:
         files = _scan(spark, root, recursive=False).filter(has_extension(F.col("path"), profile.image_extensions))
         files = files.withColumns({"name": _file_columns()[0], "relpath": _file_columns()[1]})
