@@ -16,6 +16,7 @@ from transectra.plans.reconstruction import align_record, dsm_record, filter_rec
 from transectra.sinks import artefacts
 from transectra.sources import tables
 from transectra.sources.telemetry import read_telemetry
+from transectra.sinks.snapshots import current, publish
 from transectra.streaming import ledger
 from transectra.streaming.intake import read_intake, start_intake
 from transectra.streaming.telemetry import read_summary, start_summary, telemetry_stream
@@ -60,9 +61,9 @@ def test_validate_intake(spark, site, tmp_path, profile):
     assert [r["scope"] for r in read_json(spark, f"{out}/files_with_failures")] == ["20230711_EDR_T1_C2_000099.tif"]
     # xmp_attribution_url is unverified before iptc_credit warns: no file counts as warned
     assert read_json(spark, f"{out}/files_with_warnings") == []
-    inv = spark.read.parquet(f"{out}/inventory")
+    inv = artefacts.read_inventory(spark, f"{out}/inventory")
     assert inv.count() == 13 and inv.filter("csv_matched").select("gps_lat").distinct().first()[0] == pytest.approx(24.51)
-    assert read_json(spark, f"{out}/header") == [{"count": 13, "schema": "transectra/inventory/v1"}]
+    assert read_json(spark, current(spark, f"{out}/inventory") + "/header") == [{"count": 13, "schema": "transectra/inventory/v1"}]
 
 
 def test_intake_without_metadata(spark, site, tmp_path):
@@ -80,9 +81,9 @@ def test_acquisition_round_trip(spark, tmp_path):
     plan = plan_acquisition(m, empty, empty.select("name", "sha256"))
     assert [(r.name, r.action) for r in plan.collect()] == [("b", "download"), ("a", "download")]
     record_acquisition(plan, written, "S", "10.1/x", str(tmp_path / "prov"))
-    header = read_json(spark, str(tmp_path / "prov" / "header"))[0]
+    header = read_json(spark, current(spark, str(tmp_path / "prov")) + "/header")[0]
     assert (header["file_count"], header["total_bytes"], header["site"]) == (2, 3, "S")
-    files = {f["name"]: f for f in read_json(spark, str(tmp_path / "prov" / "files"))}
+    files = {f["name"]: f for f in read_json(spark, current(spark, str(tmp_path / "prov")) + "/files")}
     assert files["a"]["parent_item_id"] is None and files["a"]["relpath"] == "S/a" and files["b"]["notes"] == "downloaded"
     prior = artefacts.read_provenance_rows(spark, str(tmp_path / "prov"))
     again = plan_acquisition(m, written, prior)
@@ -119,13 +120,13 @@ def test_small_artefacts(spark, tmp_path):
     assert len(read_json(spark, at("arms"))) == 2
     snaps = spark.createDataFrame([("T1", "pre", 1, 5.0), ("T1", "pre", 2, 6.0), ("T1", "post", 3, 1.0)], "chunk string, snapshot string, ts int, size_x double")
     artefacts.write_extents(snaps, at("ext"))
-    assert read_json(spark, at("ext")) == [{"chunk": "T1", "pre": {"size_x": 6.0}, "post": {"size_x": 1.0}}]
+    assert read_json(spark, current(spark, at("ext"))) == [{"chunk": "T1", "pre": {"size_x": 6.0}, "post": {"size_x": 1.0}}]
     facts = spark.createDataFrame([("T1", 4)], "chunk string, cameras_total int")
     stats = spark.createDataFrame([("T1", "align", 1, "{}")], "chunk string, stage string, ts int, payload string")
     prods = spark.createDataFrame([("T1", "dense", "p", 5)], "chunk string, product string, path string, bytes bigint")
     chunks = manifest.with_run_header(manifest.run_chunks(facts, stats, prods), ["gpu"], ReconstructionProfile())
     artefacts.write_run_manifest(chunks, at("run"))
-    doc = read_json(spark, at("run"))[0]
+    doc = read_json(spark, current(spark, at("run")))[0]
     assert doc["stage_align"] == "{}" and doc["stage_dsm"] is None and doc["gpu_devices"] == ["gpu"]
     assert json.loads(doc["parameters"])["keypoint_limit"] == 60000
     inv = spark.createDataFrame([("n", None)], "name string, sha256 string")
@@ -133,6 +134,47 @@ def test_small_artefacts(spark, tmp_path):
     assert read_json(spark, at("inv")) == [{"name": "n", "sha256": None}]
 
 
+def test_a_reader_during_a_rewrite_sees_one_version_whole(spark, tmp_path):
+    path = str(tmp_path / "inv")
+    table = lambda n: spark.createDataFrame([(f"n{i}", n) for i in range(n)], "name string, v int")
+    artefacts.write_inventory(table(3), path)
+    seen = []
+
+    def write(folder):
+        table(5).write.parquet(f"{folder}/inventory")
+        # Rows of the new version are there, its header and pointer are not.
+        seen.append((artefacts.read_inventory(spark, path).count(), read_json(spark, current(spark, path) + "/header")[0]["count"]))
+        artefacts.write_json(spark.createDataFrame([(5,)], "count int"), f"{folder}/header")
+
+    reader = artefacts.read_inventory(spark, path)
+    publish(spark, path, write)
+    assert seen == [(3, 3)] and artefacts.read_inventory(spark, path).count() == 5
+    assert reader.count() == 3  # a reader that is still at the version before
+
+    def die(folder):
+        table(7).write.parquet(f"{folder}/inventory")
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        publish(spark, path, die)
+    assert artefacts.read_inventory(spark, path).count() == 5
+    for n in (8, 9, 10):
+        artefacts.write_inventory(table(n), path)
+    assert artefacts.read_inventory(spark, path).count() == 10
+    versions = sorted(p.name for p in (tmp_path / "inv").iterdir() if p.name.startswith("v-"))
+    assert len(versions) == 2 and current(spark, path).endswith(versions[-1])
+    assert not [p for p in (tmp_path / "inv").iterdir() if p.name.startswith("_current.")]
+
+
+def test_a_table_may_be_published_over_itself(spark, tmp_path):
+    path = str(tmp_path / "ext")
+    snaps = spark.createDataFrame([("T1", "pre", 1, 5.0)], "chunk string, snapshot string, ts int, size_x double")
+    artefacts.write_extents(snaps, path)
+    old = spark.read.json(current(spark, path))
+    publish(spark, path, lambda folder: artefacts.write_json(old.unionByName(old), folder))
+    assert len(read_json(spark, current(spark, path))) == 2
+
+
 def test_stage_records(spark):
     cams = spark.createDataFrame([("T1", "a", "0.4", True, True), ("T1", "b", None, True, False)], "chunk string, label string, quality_raw string, enabled boolean, aligned boolean")
     assert json.loads(step4_record(cams).first().payload)["disabled"] == 1

@@ -75,8 +75,8 @@ def validate_intake(
     if expected_sites is None:
         expected_sites = site_folders(spark, site_dir)
     files = catalogue_images(spark, site_dir, known_hashes, profile)
-    write_inventory(assemble_inventory(files, records, xmp), out_dir)
-    inventory = spark.read.parquet(f"{out_dir}/inventory")
+    version = write_inventory(assemble_inventory(files, records, xmp), f"{out_dir}/inventory")
+    inventory = spark.read.parquet(f"{version}/inventory")
     dataset, images = judge(inventory, profile, expected_sites)
     transect_uuids(inventory, profile).write.mode("overwrite").parquet(f"{out_dir}/transect_uuids")
     all_findings(dataset, images).write.mode("overwrite").parquet(f"{out_dir}/findings")

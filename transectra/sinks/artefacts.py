@@ -3,7 +3,9 @@
 A document that would nest an unbounded list (files of a site, records of an
 inventory, hashes of a transect) is written as a header folder plus a rows
 folder of JSON lines, so no list passes through one task. ``null`` fields are
-kept in JSON, as readers of the artefacts expect.
+kept in JSON, as readers of the artefacts expect. Provenance, inventory, run manifest
+and extents, which are written again while others read them, are published as versions
+(see :mod:`.snapshots`).
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.manifest import input_set_hashes
 from ..profile import ReconstructionProfile
+from .snapshots import current, publish
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
@@ -30,23 +33,36 @@ def write_provenance(records: DataFrame, path: str, doi: str, host: str = "") ->
         F.count(F.lit(1)).alias("file_count"), F.sum("size_bytes").alias("total_bytes"),
         _iso(F.max("downloaded_at_utc")).alias("downloaded_at_utc"),
     ).withColumns({"schema": F.lit("transectra/acquisition/v1"), "doi": F.lit(doi), "hostname": F.lit(host)})
-    write_json(header, f"{path}/header")
     rows = records.withColumn("downloaded_at_utc", _iso(F.col("downloaded_at_utc")))
-    write_json(rows, f"{path}/files", ["site"])
+
+    def write(folder: str) -> None:
+        write_json(header, f"{folder}/header")
+        write_json(rows, f"{folder}/files", ["site"])
+
+    publish(records.sparkSession, path, write)
 
 
 def read_provenance_rows(spark, path: str) -> DataFrame:
     """(name, sha256) back from what ``write_provenance`` wrote."""
-    return spark.read.schema("name string, sha256 string").json(f"{path}/files")
+    return spark.read.schema("name string, sha256 string").json(f"{current(spark, path)}/files")
+
+
+def write_inventory(inventory: DataFrame, path: str, partition_by: list[str] = ()) -> str:
+    """``inventory`` (Parquet, for jobs) and ``header`` (JSON: schema id and count) as one version, whose folder is returned."""
+
+    def write(folder: str) -> None:
+        writer = inventory.write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/inventory")
+        stored = inventory.sparkSession.read.parquet(f"{folder}/inventory")
+        header = stored.agg(F.count(F.lit(1)).alias("count")).withColumn("schema", F.lit("transectra/inventory/v1"))
+        write_json(header, f"{folder}/header")
+
+    return publish(inventory.sparkSession, path, write)
 
 
-def write_inventory(inventory: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """``inventory`` (Parquet, for jobs) and ``header`` (JSON: schema id and count)."""
-    writer = inventory.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/inventory")
-    stored = inventory.sparkSession.read.parquet(f"{path}/inventory")
-    header = stored.agg(F.count(F.lit(1)).alias("count")).withColumn("schema", F.lit("transectra/inventory/v1"))
-    write_json(header, f"{path}/header")
+def read_inventory(spark, path: str) -> DataFrame:
+    """The inventory that ``write_inventory`` published last."""
+    return spark.read.parquet(f"{current(spark, path)}/inventory")
 
 
 def write_inventory_json(inventory: DataFrame, path: str) -> None:
@@ -71,7 +87,7 @@ def write_input_hashes(images: DataFrame, path: str) -> None:
 
 
 def write_run_manifest(chunks: DataFrame, path: str) -> None:
-    write_json(chunks, path)
+    publish(chunks.sparkSession, path, lambda folder: write_json(chunks, folder))
 
 
 def decision_documents(decided: DataFrame, profile: ReconstructionProfile = ReconstructionProfile()) -> DataFrame:
@@ -106,7 +122,7 @@ def merge_extents(snapshots: DataFrame) -> DataFrame:
 
 
 def write_extents(snapshots: DataFrame, path: str) -> None:
-    write_json(merge_extents(snapshots), path)
+    publish(snapshots.sparkSession, path, lambda folder: write_json(merge_extents(snapshots), folder))
 
 
 def write_cameras(cameras: DataFrame, path: str) -> None:
