@@ -209,6 +209,18 @@ def test_contact_sheet(spark):
         assert (r.x, r.y, r.sheet_name) == (8 + at % 6 * 228, 8 + at // 6 * 191, f"contact_sheet_{sheet + 1:03d}.jpg")
 
 
+def test_arm_results(spark):
+    arms = spark.createDataFrame([("c", "a", 0.5), ("c", "b", 0.3)], "chunk string, arm string, threshold double")
+    points = spark.createDataFrame([("c", "a", 0.0, 1.0, 2.0), ("c", "a", 1.5, 1.0, 2.123456), ("d", "a", 0.0, 0.0, 0.0)],
+                                   "chunk string, arm string, x double, y double, z double")
+    runs = spark.createDataFrame([("c", "a", 100), ("c", "a", 101)], "chunk string, arm string, seconds int")
+    got = {r.arm: tuple(r)[3:] for r in quality.arm_results(arms, points, runs).collect()}
+    assert got == {"a": (2, 1.5, 0.0, 0.1235, 3.4), "b": (0, None, None, None, None)}
+    given = spark.createDataFrame([("c", "b", 7.0, 8.0, 9.00006)], "chunk string, arm string, size_x double, size_y double, size_z double")
+    got = {r.arm: tuple(r)[3:] for r in quality.arm_results(arms, points, runs, given).collect()}
+    assert got == {"a": (2, None, None, None, 3.4), "b": (0, 7.0, 8.0, 9.0001, None)}
+
+
 def test_contact_sheets_are_numbered_per_site(spark):
     """Equal names in two sites, and sites that no partition boundary respects."""
     rows = [(site, f"img_{i:04d}.tif") for site, n in (("a", 40), ("b", 75), ("c", 1), (None, 2)) for i in range(n)]

@@ -84,6 +84,25 @@ def compare_arms(cameras: DataFrame, arms=_DEFAULTS.ab_arms, keys: list[str] = (
     }).drop("_n")
 
 
+def arm_results(arms: DataFrame, tie_points: DataFrame, runs: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Results of :func:`compare_arms` with what each arm's reconstruction gave: tie points, region size per axis, minutes.
+
+    ``tie_points`` are (chunk, arm, x, y, z), ``runs`` (chunk, arm, seconds; stages add up), ``regions`` (chunk, arm,
+    size_x, size_y, size_z); without it a region is the extent of the arm's points. Points are read once, in a hash
+    aggregation; an arm without points has 0 of them and no region.
+    """
+    keys = ["chunk", "arm"]
+    span = [(F.max(a) - F.min(a)).alias(f"size_{a}") for a in "xyz"] if regions is None else []
+    found = tie_points.groupBy(*keys).agg(F.count(F.lit(1)).alias("tie_points"), *span)
+    spent = runs.groupBy(*keys).agg(F.round(F.sum("seconds") / 60, 1).alias("minutes"))
+    out = arms.join(found, keys, "left").join(spent, keys, "left")
+    if regions is not None:
+        out = out.join(regions.select(*keys, *[f"size_{a}" for a in "xyz"]), keys, "left")
+    sizes = {f"region_{a}": F.round(f"size_{a}", 4) for a in "xyz"}
+    return out.withColumns({"tie_points": F.coalesce("tie_points", F.lit(0)), **sizes}).select(
+        *arms.columns, "tie_points", *sizes, "minutes")
+
+
 def band_breakdown(cameras: DataFrame, alignment: DataFrame, bands=_DEFAULTS.quality_bands) -> DataFrame:
     """Registration by arm and quality band; ``alignment`` is (chunk, arm, label, aligned)."""
     scored = cameras.select("chunk", "label", quality_band(quality_score(F.col("quality_raw")), *bands).alias("band"))

@@ -53,6 +53,18 @@ def threshold_arms(v):
     return quality.compare_arms(v("cameras"), R.ab_arms)
 
 
+@query("arm_results", f"""{CAM}, {ctes('arm_points', 'arm_runs').removeprefix('WITH ')},
+  t AS (SELECT chunk, arm, count(*) AS tie_points, round(max(x) - min(x), 4) AS region_x, round(max(y) - min(y), 4) AS region_y,
+    round(max(z) - min(z), 4) AS region_z FROM v_arm_points GROUP BY ALL),
+  s AS (SELECT chunk, arm, round(CAST(sum(seconds) AS DOUBLE) / 60, 1) AS minutes FROM v_arm_runs GROUP BY ALL)
+  SELECT a.chunk, a.arm, a.threshold, a.disabled, a.enabled, a.aligned, a.aligned / CAST(nullif(a.enabled, 0) AS DOUBLE) AS align_rate_of_enabled,
+    a.aligned / CAST(a.n AS DOUBLE) AS align_rate_of_total, coalesce(t.tie_points, 0) AS tie_points, t.region_x, t.region_y, t.region_z, s.minutes
+  FROM ({_arm('q050', 0.5)} UNION ALL {_arm('q030', 0.3)}) AS a LEFT JOIN t ON t.chunk = a.chunk AND t.arm = a.arm
+    LEFT JOIN s ON s.chunk = a.chunk AND s.arm = a.arm""")
+def arm_results(v):
+    return quality.arm_results(quality.compare_arms(v("cameras"), R.ab_arms), v("arm_points"), v("arm_runs"))
+
+
 _BAND = "CASE WHEN q < 0.3 THEN '<0.30' WHEN q < 0.5 THEN '0.30-0.50' ELSE '>=0.50' END"
 
 

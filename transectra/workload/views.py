@@ -132,6 +132,18 @@ SELECT event_type AS chunk, printf('cam_%08d', event_id) AS label,
 FROM {events}
 """
 
+VIEWS["arm_points"] = """
+SELECT CASE l_suppkey % 5 WHEN 0 THEN 'signup' WHEN 1 THEN 'purchase' WHEN 2 THEN 'error' WHEN 3 THEN 'view' ELSE 'click' END AS chunk,
+  CASE WHEN l_partkey % 3 = 0 AND l_suppkey % 5 <> 2 THEN 'q050' ELSE 'q030' END AS arm, l_quantity AS x, l_discount * 100 + l_linenumber AS y,
+  CAST(floor(l_extendedprice) AS DOUBLE) / 16384 AS z
+FROM {lineitem}
+"""
+VIEWS["arm_runs"] = """
+SELECT CASE o_custkey % 5 WHEN 0 THEN 'signup' WHEN 1 THEN 'purchase' WHEN 2 THEN 'error' WHEN 3 THEN 'view' ELSE 'click' END AS chunk,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'q050' ELSE 'q030' END AS arm, o_orderkey % 900 AS seconds
+FROM {orders}
+"""
+
 VIEWS["arms"] = """
 SELECT o_custkey AS experiment, CASE WHEN o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_orderkey % 2 = 0 THEN 'fallback' ELSE 'manual' END AS arm,
   CASE WHEN max(o_totalprice) > 450000 THEN NULL ELSE max(o_totalprice) / 1000000 END AS rms,
