@@ -5,7 +5,8 @@ import random
 import pytest
 
 #: Columns whose names the operators use inside, besides those of documents.
-CLASHING = ("id", "node", "digest", "bucket", "label", "key", "batch", "tie", "x", "n", "rows", "body", "keep_id")
+CLASHING = ("id", "node", "digest", "bucket", "label", "key", "batch", "tie", "x", "n", "rows", "body", "keep_id",
+            "row", "at", "draw", "_url", "_at", "n_matches", "matched", "blocked", "_id", "_digest", "_i", "_t", "_kept", "kept_id", "kept_digest")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from transectra.llm import exact, jaccard, language, packing, pieces, quality, secrets, tokenfile
+from transectra.llm import exact, jaccard, language, packing, pieces, quality, secrets, tokenfile, urls
+
+from .conftest import prose
 
 OPERATORS = {
     "quality": quality.classify, "language": language.identify, "packing": packing.pack_documents, "tokens": tokenfile.round_trip,
@@ -41,3 +43,30 @@ def test_only_nulls(name, spark, no_documents):
     found = OPERATORS[name](rows)
     assert found.count() == 3
     assert found.filter(F.col("doc_id").isNotNull()).isEmpty()
+
+
+def test_samples_of_rows_without_ids(spark, no_documents):
+    """Rows with null ids are drawn one by one: both languages and both qualities are learnt from a part of them."""
+    german, english = "der die und ist nicht mit ein Haus Baum Wasser Licht", "the and is not with a house tree water light"
+    rows = [(None, " ".join(prose(i, 12).split()[:3] + (german if i % 2 else english).split() * 3), "de" if i % 2 else "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, no_documents.schema)
+    model = language.fit(docs, train_docs=40, rounds=1)
+    assert model.langs == ["de", "en"]
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 30)) < int(0.2 * (1 << 30))
+    drawn = {r.lang: r["count"] for r in docs.filter(draw).groupBy("lang").count().collect()}
+    assert all(10 < drawn[k] < 90 for k in ("de", "en"))
+    found = quality.score(docs, quality.fit(docs, train_docs=100))
+    assert len({r.score for r in found.collect()}) > 1
+
+
+def test_columns_of_any_name_pass_through(spark, awkward, clashing):
+    docs = clashing(awkward)
+    kept = exact.drop_copies(docs, exact.exact_duplicates(docs))
+    plain_kept = exact.drop_copies(awkward, exact.exact_duplicates(awkward))
+    assert kept.columns == docs.columns and rounded(kept.select(awkward.columns)) == rounded(plain_kept)
+    pages = spark.createDataFrame([(1, "http://a.b/c", "2024-01-05"), (2, None, None)], "page_id long, url string, fetched string")
+    pages = clashing(pages.withColumn("fetched", F.col("fetched").cast("date")))
+    log = spark.createDataFrame([("l", "host", "a.b", "add", "2024-01-01")], "list string, kind string, pattern string, action string, at string")
+    got = {r.page_id: r for r in urls.judge(pages, log.withColumn("at", F.col("at").cast("date"))).collect()}
+    assert (got[1].blocked, got[1].n_matches, got[1].matched, got[1]["_url"]) == (True, 1, "l:host:a.b", "other _url")
+    assert (got[2].blocked, got[2].n_matches, got[2].matched) == (False, 0, None)

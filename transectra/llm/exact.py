@@ -225,17 +225,18 @@ def exact_duplicates(
 
 
 def drop_copies(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay by :func:`exact_duplicates`; of rows equal in id and text, one."""
+    """Rows of ``docs`` that stay by :func:`exact_duplicates`; of rows equal in id and text, one. Columns may have any names."""
     kept = settle(
-        found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        found.filter("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (digest(F.col(text_col)) == F.col("_digest"))
-    once, often = kept.filter("_rows = 1"), kept.filter("_rows > 1")
-    out = docs.join(once, same, "left_semi")
+    # The caller's columns travel as one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    same = F.col("id").cast("long").eqNullSafe(F.col("kept_id")) & (digest(F.col("text")) == F.col("kept_digest"))
+    once, often = kept.filter("rows = 1"), kept.filter("rows > 1")
+    out = rows.join(once, same, "left_semi").select("row.*")
     if not often.isEmpty():
-        repeated = docs.join(often, same, "left_semi")
-        first = repeated.groupBy(F.col(id_col).alias("_i"), normalised(F.col(text_col)).alias("_t")).agg(
-            *[F.first(c).alias(c) for c in docs.columns])
-        out = out.unionByName(first.select(docs.columns))
+        repeated = rows.join(often, same, "left_semi")
+        first = repeated.groupBy("id", normalised(F.col("text")).alias("body")).agg(F.first("row").alias("row"))
+        out = out.unionByName(first.select("row.*"))
     return out

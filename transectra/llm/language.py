@@ -205,7 +205,8 @@ def fit(
     if not langs:
         return Model(path, [], np.zeros(0), np.zeros(shape))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, train_docs / sizes[k]))])
-    chosen = labelled.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # By id and text, so that rows without an id are not drawn all or none.
+    chosen = labelled.filter(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     words = settle(chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n"))
                    # Few bytes, much work on each: dealt out, or the rounds would run in a task or two.

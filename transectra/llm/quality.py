@@ -240,8 +240,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
     labels = LabelModel(patterns, counts)
     total = int(counts.sum())
     share = min(1.0, train_docs / max(1, total))
-    chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = _text(chosen, text_col).mapInArrow(_sampled, "pattern long, buckets array<int>, values array<float>").toArrow()
+    # By id and text, so that rows without an id are not drawn all or none; equal rows are one.
+    chosen = docs.select(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("quality")).alias("draw"), F.col(text_col).alias("text"))
+    chosen = chosen.filter(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["draw"])
+    sample = _text(chosen, "text").mapInArrow(_sampled, "pattern long, buckets array<int>, values array<float>").toArrow()
     weak = labels.posterior(sample["pattern"].to_numpy())
     rows = [(b.values.to_numpy(), v.values.to_numpy(), w) for b, v, w in zip(sample["buckets"], sample["values"], weak) if len(b)]
     return Model(labels, train(rows))

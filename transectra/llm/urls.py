@@ -88,11 +88,18 @@ def matches(captures: DataFrame, intervals: DataFrame, url_col: str = "url", at_
 
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", at_col: str = "fetched") -> DataFrame:
-    """Captures with ``blocked``, ``n_matches`` and ``matched`` (the first of ``list:kind:pattern``, null if none)."""
+    """Captures with ``blocked``, ``n_matches`` and ``matched`` (the first of ``list:kind:pattern``, null if none).
+
+    Other columns are passed on, whatever their names; columns named like the three results are replaced.
+    """
     said = F.concat_ws(":", "list", "kind", "pattern")
     found = settle(
         matches(captures, validity(entries), url_col, at_col).groupBy("url", "at")
         .agg(F.count(F.lit(1)).alias("n_matches"), F.min(said).alias("matched"))
-    ).select(F.col("url").alias("_url"), F.col("at").alias("_at"), "n_matches", "matched")
-    out = captures.join(found, (F.col(url_col) == F.col("_url")) & (F.col(at_col) == F.col("_at")), "left").drop("_url", "_at")
-    return out.withColumns({"blocked": F.col("n_matches").isNotNull(), "n_matches": F.coalesce("n_matches", F.lit(0)).cast("long")})
+    )
+    # The caller's columns travel as one, so that no name of theirs meets one of ours.
+    rows = captures.select(F.struct("*").alias("row"), F.col(url_col).alias("url"), F.col(at_col).alias("at"))
+    out = rows.join(found, ["url", "at"], "left")
+    others = [F.col("row").getField(c).alias(c) for c in captures.columns if c.lower() not in ("blocked", "n_matches", "matched")]
+    return out.select(
+        *others, F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"), "matched", F.col("n_matches").isNotNull().alias("blocked"))
