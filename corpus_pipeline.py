@@ -31,8 +31,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the least id."""
     found = jaccard.similarity_components(docs)
-    kept = settle(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = settle(found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct())
+    # The documents' columns travel as one, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
