@@ -19,7 +19,7 @@ from transectra.sources.telemetry import read_telemetry
 from transectra.sinks.snapshots import current, publish
 from transectra.streaming import ledger
 from transectra.streaming.intake import read_intake, start_intake
-from transectra.streaming.telemetry import read_summary, start_summary, telemetry_stream
+from transectra.streaming.telemetry import read_summary, start_summary, telemetry_stream, without_repeats
 
 METADATA = "image_id,uuid,preservedfilename,cammake,cammodel,artist,copyright,dtoriginal,lat,lng\n"
 
@@ -252,6 +252,33 @@ def test_telemetry_stream_equals_batch(spark, tmp_path):
     assert live == sorted(map(tuple, batch.collect())) and len(live) == 2
 
 
+def test_live_summary_writes_changed_hosts_only_and_counts_repeats_once(spark, tmp_path):
+    header = "timestamp,cpu_util_pct,mem_used_MB,mem_total_MB,swap_used_MB\n"
+    logs, out = tmp_path / "logs", str(tmp_path / "live")
+
+    def add(host, file, seconds):
+        (logs / host).mkdir(parents=True, exist_ok=True)
+        rows = [f"2026/05/29 12:{i // 60:02d}:{i % 60:02d},{i % 50},{i},9000,0\n" for i in seconds]
+        (logs / host / file).write_text(header + "".join(rows))
+
+    def run():
+        samples = without_repeats(telemetry_stream(spark, str(logs / "*"), "cpu"), "10 minutes")
+        start_summary(samples, out, str(tmp_path / "ck")).awaitTermination()
+        return {r.host: r.samples for r in read_summary(spark, out).collect()}
+
+    add("h1", "a.csv", range(0, 30))
+    add("h2", "a.csv", range(0, 5))
+    assert run() == {"h1": 30, "h2": 5}
+    add("h1", "b.csv", range(20, 40))  # ten seconds of it were there before
+    assert run() == {"h1": 40, "h2": 5}
+    hosts = {r.batch: r.hosts for r in spark.read.parquet(out).groupBy("batch").agg(F.array_sort(F.collect_set("host")).alias("hosts")).collect()}
+    assert hosts[0] == ["h1", "h2"] and all(v == ["h1"] for b, v in hosts.items() if b > 0)
+    add("h1", "c.csv", range(2400, 2401))
+    run()
+    add("h1", "d.csv", [41, 2402])  # forty minutes late, and in time
+    assert run() == {"h1": 42, "h2": 5}
+
+
 def test_incremental_intake(spark, tmp_path):
     folder = tmp_path / "in" / "S"
     folder.mkdir(parents=True)

@@ -19,24 +19,36 @@ def telemetry_stream(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return numeric_samples(raw, kind)
 
 
+def without_repeats(samples: DataFrame, delay: str, fmt: str = "yyyy/MM/dd HH:mm:ss") -> DataFrame:
+    """Samples of a stream, each (host, time) once.
+
+    Logs that are copied again or overlap repeat samples. What was seen is kept as state until the
+    event time has moved on by ``delay``, and then expires; a sample that comes later than
+    that is left out, as it could not be told from a repeat. Samples whose time cannot be read are left out too.
+    """
+    timed = samples.withColumn("at", F.try_to_timestamp(F.col("pos"), F.lit(fmt))).filter(F.col("at").isNotNull())
+    return timed.withWatermark("at", delay).dropDuplicatesWithinWatermark(["host", "at"])
+
+
 def start_summary(samples: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Keep one running row per host; state grows with hosts, not with samples.
 
-    Each batch writes the rows as they then are to its own folder below ``out``, from the
-    executors, so a retried batch replaces its folder; :func:`read_summary` reads the last.
+    Each batch writes the rows of hosts that changed in it to its own folder below ``out``, from the
+    executors, so output follows change and a retried batch replaces its folder; :func:`read_summary` takes each host's last.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
-        summarize(samples).writeStream.outputMode("complete").foreachBatch(write)
+        summarize(samples).writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
 def read_summary(spark: SparkSession, out: str) -> DataFrame:
-    """Rows of the last batch that :func:`start_summary` wrote."""
+    """The last row that :func:`start_summary` wrote for each host."""
     rows = spark.read.parquet(out)
-    last = rows.agg(F.max("batch").alias("b")).first()["b"]
-    return rows.filter(F.col("batch") == last).drop("batch")
+    facts = [c for c in rows.columns if c not in ("host", "batch")]
+    last = rows.groupBy("host").agg(F.max_by(F.struct(*facts), F.col("batch")).alias("last"))
+    return last.select("host", "last.*")
