@@ -96,6 +96,17 @@ def test_cuts_cost_the_least():
         assert cost == best_cost(at.tolist(), penalty.tolist(), window)
 
 
+def test_little_padding_without_sentence_ends(spark):
+    rng = np.random.default_rng(1)
+    letters = np.asarray(list("abcdefghij"))
+    word = lambda: "".join(rng.choice(letters, 4))
+    words = [word() for _ in range(3000)]
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, 3000, 6000))) for i in range(60)] + [(100 + i, words[i]) for i in range(20)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    used = [r[1] for r in got]
+    assert max(used) <= packing.WINDOW and sum(used) > 0.97 * packing.WINDOW * len(used)
+
+
 @pytest.mark.parametrize("block", [packing.BLOCK, 3000])
 def test_pieces_cover_every_document_once(spark, given, awkward, block):
     theirs = library("word")

@@ -2,7 +2,7 @@
 
 The documents' ids stand in a row in ``doc_id`` order. A window is a stretch of at
 most ``WINDOW`` ids between two cuts; cuts may be at document ends, at sentence ends
-(ids that end in ``. ! ?``) and, only inside a sentence longer than a window, anywhere.
+(ids that end in ``. ! ?``) and, at a higher penalty, every ``1 / HARD_STEPS`` of a window inside longer sentences.
 Chosen are the cuts with the least sum of padding and penalties. The cost of a window
 is linear in its start, so the best start of each cut is the least value in a sliding
 range, which a monotone queue gives in constant time.
@@ -34,6 +34,8 @@ WINDOW = 4096
 BLOCK = 1 << 20
 #: Penalties in ids of padding: a document cut at a sentence end, and inside a sentence.
 SENTENCE_CUT, HARD_CUT = 8, 64
+#: Places for hard cuts in a window's length of text without a sentence end; a window then misses less than one step.
+HARD_STEPS = 64
 #: Characters of text for one partition, about, and the most partitions.
 PARTITION_CHARS, MOST_PARTITIONS = 16_000_000, 10_000
 
@@ -54,9 +56,10 @@ def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     """Positions where a cut is allowed, ascending from 0, and their penalties."""
     ends = np.flatnonzero(sentence_end[ids]) + 1
     at = np.union1d(np.union1d(ends, doc_ends), [0])
-    gaps = np.flatnonzero(np.diff(at) > window)
+    step = max(1, window // HARD_STEPS)
+    gaps = np.flatnonzero(np.diff(at) > step)
     if len(gaps):
-        extra = [np.arange(at[g] + window, at[g + 1], window) for g in gaps]
+        extra = [np.arange(at[g] + step, at[g + 1], step) for g in gaps]
         hard = np.concatenate(extra)
         at = np.union1d(at, hard)
         penalty = np.where(np.isin(at, hard), HARD_CUT, SENTENCE_CUT)
