@@ -187,6 +187,20 @@ def test_open_pairs_skip_nothing_that_can_link():
     assert got == want
 
 
+def test_the_driver_gets_one_byte_of_each_counter(awkward, monkeypatch):
+    """The classes are those of the counts; the tables of counts stay with the tasks."""
+    monkeypatch.setattr(jaccard, "SKETCH_BITS", 18)
+    seen = jaccard.settle(awkward.selectExpr("doc_id AS id", "coalesce(text, '') AS text").mapInArrow(jaccard._sets_and_counts(5), jaccard._SEEN))
+    sets = [jaccard.Shingler().of(r.text or "") for r in awkward.collect()]
+    counts = np.bincount((np.concatenate(sets) & np.uint64((1 << 18) - 1)).astype(np.int64), minlength=1 << 18)
+    sizes, real = [], type(seen).collect
+    monkeypatch.setattr(type(seen), "collect", lambda df: [sizes.append(len(r["data"])) or r if "data" in r else r for r in real(df)])
+    classes, total = jaccard.frequency_classes(seen)
+    assert classes.dtype == np.uint8 and classes.tolist() == np.frexp(counts.astype(float))[1].tolist()
+    assert total == sum(map(len, sets))
+    assert 0 < sum(sizes) <= 1 << 18
+
+
 # --- vectors ------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int"

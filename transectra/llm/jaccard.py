@@ -145,10 +145,14 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 
 def frequency_classes(seen: DataFrame) -> tuple[np.ndarray, int]:
     """(binary logarithm of each counter of the sketch over all texts, number of shingles)."""
-    # Pieces travel compressed: dealt by block first, unpacked where they are added up.
+    # Pieces travel compressed: dealt by block first, unpacked where they are added up. One byte of each counter reaches the driver.
     packed = seen.filter("block IS NOT NULL").select("block", "data")
-    counts = merge(packed, 1 << SKETCH_BITS, "<i8", np.add, unpack=zlib.decompress)
-    return np.frexp(counts.astype(float))[1].astype(np.uint8), int(counts.sum())
+    classes = merge(packed, 1 << SKETCH_BITS, "<i8", np.add, unpack=zlib.decompress, finish=_logarithms, finished="u1")
+    return classes, seen.agg(F.sum("n")).first()[0] or 0
+
+
+def _logarithms(counts: np.ndarray) -> np.ndarray:
+    return np.frexp(counts.astype(float))[1].astype(np.uint8)
 
 
 def _node_filter(nodes: DataFrame) -> np.ndarray:

@@ -20,10 +20,11 @@ def pieces_of(table: np.ndarray) -> pa.RecordBatch:
         [pa.array(used, pa.int32()), pa.array([cut[i].tobytes() for i in used], pa.binary())], names=["block", "data"])
 
 
-def merge(parts: DataFrame, size: int, dtype: str, add, unpack=None) -> np.ndarray:
+def merge(parts: DataFrame, size: int, dtype: str, add, unpack=None, finish=None, finished: str | None = None) -> np.ndarray:
     """The tables of all tasks (block, data) combined by ``add``, block by block and streaming.
 
-    ``unpack`` undoes a compression of the data. Only the combined table, ``size`` numbers whatever the input, reaches the driver.
+    ``unpack`` undoes a compression of the data; ``finish`` makes the combined blocks into what is
+    wanted of them (of type ``finished``, zero for zero) before they travel. Only the combined table, ``size`` numbers whatever the input, reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,9 +37,10 @@ def merge(parts: DataFrame, size: int, dtype: str, add, unpack=None) -> np.ndarr
                 else:
                     total[block] = x.copy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(total.keys(), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
+            [pa.array(total.keys(), pa.int32()), pa.array([(finish(x) if finish else x).tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
 
-    out = np.zeros(size, dtype).reshape(-1, min(size, PIECE))
+    finished = finished or dtype
+    out = np.zeros(size, finished).reshape(-1, min(size, PIECE))
     for r in parts.repartition("block").mapInArrow(run, "block int, data binary").collect():
-        out[r["block"]] = np.frombuffer(r["data"], dtype)
+        out[r["block"]] = np.frombuffer(r["data"], finished)
     return out.reshape(-1)
