@@ -201,6 +201,50 @@ def test_the_driver_gets_one_byte_of_each_counter(awkward, monkeypatch):
     assert 0 < sum(sizes) <= 1 << 18
 
 
+def test_signatures_and_turns_keep_a_large_group_linear(spark, monkeypatch):
+    """Copies of one absent template, mostly a little too far from each other: whole texts of few pairs are compared, links as by brute force."""
+    rng = random.Random(5)
+    base = prose(77, 200).split(" ")
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(4, 9)):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    asked = []
+    real = jaccard._Texts.compared
+
+    def compared(self, pairs):
+        asked.append(pairs.count())
+        return real(self, pairs)
+
+    monkeypatch.setattr(jaccard._Texts, "compared", compared)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(tuple(r) for r in jaccard.similarity_components(docs).collect()) == brute_similar([r[:2] for r in rows])
+    assert sum(asked) < 10 * len(rows)
+
+
+def test_a_signature_never_rules_out_a_link():
+    import pyarrow as pa
+    import zlib
+
+    rng = random.Random(9)
+    base = prose(5, 600).split(" ")
+    texts = [" ".join("new" + str(rng.random()) if rng.random() < share else w for w in base) for share in (0, 0.01, 0.02, 0.03, 0.05, 0.1) for _ in range(6)]
+    sets = [set(map(int, jaccard.Shingler().of(t))) for t in texts]
+    packed = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([zlib.compress(t.encode()) for t in texts])], names=["node", "text"])
+    bits = next(jaccard._signatures(5)(iter([packed])))["bits"]
+    n = len(texts)
+    one = pa.RecordBatch.from_arrays(
+        [pa.array(v) for v in (np.full(n, 3), np.arange(n), np.arange(n), [len(s) for s in sets], np.zeros(n, int), np.zeros(n), np.ones(n))] + [bits],
+        names=["token", "node", "part", "n", "at", "far", "near", "bits"])
+    got = {(x, y) for out in jaccard._open_pairs(75)(iter([one])) for x, y in zip(out["x"].to_pylist(), out["y"].to_pylist())}
+    links = {(a, b) for a in range(n) for b in range(a + 1, n) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert links and links <= got and len(got) < n * (n - 1) / 2
+    first = {(x, y) for out in jaccard._open_pairs(75, True)(iter([one])) for x, y in zip(out["x"].to_pylist(), out["y"].to_pylist())}
+    assert first <= got and len(first) < n
+
+
 # --- vectors ------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int"
