@@ -278,3 +278,22 @@ def test_pipeline_without_documents(spark, no_documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, ""))
         assert docs.isEmpty()
+
+
+def test_new_words_of_several_texts_are_scored_together(monkeypatch):
+    """One forward pass for each length of word, not for each text; sums as text by text, also when not all words fit."""
+    path = language.public_path("piece_bpe_32k.model")
+    pieces = language._pieces(path)
+    table = np.random.default_rng(2).random((pieces.none + 1, 3))
+    table[pieces.none] = 0
+    texts = [prose(i, 60).split() + [f"only{i}", "y" * 70] for i in range(20)] + [[]]
+    passes, real = [], language.forward
+    monkeypatch.setattr(language, "forward", lambda grid, t: passes.append(len(grid)) or real(grid, t))
+    together = language.Scorer(path, table, np.log([0.5, 0.3, 0.2]))
+    got = together.scores(texts)
+    assert len(passes) <= len({len(s) for words in texts for w in words for s in language.stretches(w)})
+    one = language.Scorer(path, table, np.log([0.5, 0.3, 0.2]))
+    assert np.array_equal(got, np.concatenate([one.scores([words]) for words in texts]))
+    small = language.Scorer(path, table, np.log([0.5, 0.3, 0.2]))
+    small.most = 70
+    assert np.allclose(got, small.scores(texts))

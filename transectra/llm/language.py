@@ -61,8 +61,11 @@ class Pieces:
         m = len(words[0])
         width = min(self.longest, m)
         get, none = self.number.get, self.none
-        flat = [get(w[i:j], none) if j <= m else none for w in words for i in range(m) for j in range(i + 1, i + 1 + width)]
-        grid = np.asarray(flat, np.int32).reshape(len(words), m, width)
+        places = [(i, size) for i in range(m) for size in range(1, min(width, m - i) + 1)]
+        cuts = [slice(i, i + size) for i, size in places]
+        grid = np.full((len(words), m, width), none, np.int32)
+        start, size = np.asarray(places).T
+        grid[:, start, size - 1] = np.asarray([get(w[c], none) for w in words for c in cuts], np.int32).reshape(len(words), -1)
         single = grid[:, :, 0]
         single[single == none] = self.unknown
         return grid
@@ -144,6 +147,14 @@ class Scorer:
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """Log of prior and words for lists of words."""
         out = np.empty((len(texts), len(self.prior)))
+        # New words of all these texts together, if they fit: text by text, arrays would be small and many.
+        met = {w for words in texts for w in words}
+        new = [w for w in met if w not in self.number]
+        if new and len(met) <= self.most:
+            if len(self.number) + len(new) > self.most:
+                self.number.clear()
+                new = list(met)
+            self._learn(new)
         for i, words in enumerate(texts):
             total = self.prior.copy()
             # A text with more words than are remembered is taken in parts.
