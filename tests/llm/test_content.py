@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -98,6 +99,32 @@ def test_all_segmentations_are_summed():
         assert abs(uses[piece] - slope) < 1e-3
 
 
+def test_pieces_are_found_by_walks_and_not_by_a_look_up_per_substring():
+    """Same pieces as substring by substring, but the number of look-ups in the vocabulary does not grow with the words."""
+    asked = []
+
+    class Watched(dict):
+        def get(self, *key):
+            asked.append(key)
+            return super().get(*key)
+
+    real = language._pieces(language.public_path("piece_bpe_32k.model"))
+    known = language.Pieces.__new__(language.Pieces)
+    known.number, known.longest, known.unknown, known.none = Watched(real.number), real.longest, real.unknown, real.none
+    lengths = defaultdict(list)
+    for w in [*prose(1, 200).split(), *real.number, "\U0001F600\0▁the", "тестthe", "ééé中文的", "x" * 31, "▁"]:
+        lengths[len(w)].append(w)
+    for words in lengths.values():
+        asked.clear()
+        grid = known.lattice(words)
+        assert not asked
+        for w, of_word in zip(words[:200], grid):
+            for i, of_start in enumerate(of_word):
+                want = {k: real.number[w[i:i + k]] for k in range(1, len(w) - i + 1) if w[i:i + k] in real.number}
+                want.setdefault(1, real.unknown)
+                assert {k: x for k, x in enumerate(of_start, 1) if x != real.none} == want
+
+
 def test_held_out_texts_are_recognised(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

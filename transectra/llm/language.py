@@ -21,9 +21,10 @@ name.
 from __future__ import annotations
 
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +57,64 @@ class Pieces:
         self.longest = max(map(len, names))
         self.unknown, self.none = len(names), len(names) + 1
 
+    @cached_property
+    def tree(self) -> tuple[np.ndarray, ...]:
+        """The vocabulary as a tree in two arrays, so that a step of many walks is two look-ups.
+
+        Gives the code of every character (0: in no piece), for every node where its children
+        are and its piece, and for every place its parent and the child there. The root is node
+        0; the last node is nowhere, it has no child and no piece.
+        """
+        children: list[dict[str, int]] = [{}]
+        piece = [self.none]
+        for name, number in self.number.items():
+            at = 0
+            for c in name:
+                if c not in children[at]:
+                    children[at][c] = len(children)
+                    children.append({})
+                    piece.append(self.none)
+                at = children[at][c]
+            piece[at] = number
+        seen = Counter(c for below in children for c in below)
+        number = {c: i for i, (c, _) in enumerate(seen.most_common(), 1)}
+        code = np.zeros(0x110000, np.int64)
+        code[[ord(c) for c in number]] = list(number.values())
+        nowhere = len(children)
+        places = 4 * nowhere
+        base, at = np.zeros(nowhere + 1, np.int64), 0
+        parent, child = [-1] * (places + len(number) + 1), [nowhere] * (places + len(number) + 1)
+        # Most children first; most places stay free, so few are tried.
+        for node in sorted(range(nowhere), key=lambda x: -len(children[x])):
+            below = {number[c]: x for c, x in children[node].items()}
+            while any(parent[at + c] >= 0 for c in below):
+                at = (at + 7919) % places
+            base[node] = at
+            for c, x in below.items():
+                parent[at + c], child[at + c] = node, x
+        return code, base, np.asarray([*piece, self.none], np.int32), np.asarray(parent), np.asarray(child)
+
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Piece numbers of words of one length: [word, start, piece length - 1]."""
-        m = len(words[0])
-        width = min(self.longest, m)
-        get, none = self.number.get, self.none
-        places = [(i, size) for i in range(m) for size in range(1, min(width, m - i) + 1)]
-        cuts = [slice(i, i + size) for i, size in places]
-        grid = np.full((len(words), m, width), none, np.int32)
-        start, size = np.asarray(places).T
-        grid[:, start, size - 1] = np.asarray([get(w[c], none) for w in words for c in cuts], np.int32).reshape(len(words), -1)
-        single = grid[:, :, 0]
-        single[single == none] = self.unknown
-        return grid
+        """Piece numbers of words of one length: [word, start, piece length - 1], up to the longest piece met."""
+        n, m = len(words), len(words[0])
+        code, base, piece, parent, child = self.tree
+        # Place by place, so that what lies at one place of all words is together; after the last place nothing goes on.
+        text = np.zeros((m + 1, n), np.int64)
+        text[:m] = code[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, m).T]
+        text = text.reshape(-1)
+        start, node, layers = np.arange(m * n), np.zeros(m * n, np.int64), []
+        for size in range(min(self.longest, m)):
+            to = base[node] + text[start + size * n]
+            goes = np.flatnonzero(parent[to] == node)
+            if size and not len(goes):
+                break
+            start, node = start[goes], child[to[goes]]
+            layer = np.full(m * n, self.none, np.int32)
+            layer[start] = piece[node]
+            layers.append(layer)
+        single = layers[0]
+        single[single == self.none] = self.unknown
+        return np.stack(layers).reshape(len(layers), m, n).T
 
 
 @lru_cache(maxsize=2)
@@ -128,11 +174,10 @@ class Scorer:
         self.number: dict[str, int] = {}
 
     def _learn(self, words: list[str]) -> None:
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for s in stretches(w):
-                parts.append(s)
-                owner.append(i)
+        parts, owner = ["▁" + w for w in words], range(len(words))
+        if max(map(len, parts)) > STRETCH:
+            cut = [stretches(w) for w in words]
+            parts, owner = list(chain.from_iterable(cut)), np.repeat(owner, list(map(len, cut)))
         logs = np.zeros((len(words), len(self.prior)))
         owner = np.asarray(owner, np.int64)
         for group in _by_length(parts).values():
@@ -148,31 +193,28 @@ class Scorer:
         """Log of prior and words for lists of words."""
         out = np.empty((len(texts), len(self.prior)))
         # New words of all these texts together, if they fit: text by text, arrays would be small and many.
-        met = {w for words in texts for w in words}
-        new = [w for w in met if w not in self.number]
-        if new and len(met) <= self.most:
-            if len(self.number) + len(new) > self.most:
-                self.number.clear()
-                new = list(met)
-            self._learn(new)
+        met = set(chain.from_iterable(texts))
+        if len(met) <= self.most:
+            self._meet(met)
         for i, words in enumerate(texts):
             total = self.prior.copy()
             # A text with more words than are remembered is taken in parts.
             for a in range(0, len(words), self.most // 2):
                 part = words[a:a + self.most // 2]
-                try:
-                    at = list(map(self.number.__getitem__, part))
-                except KeyError:
-                    new = list({w for w in part if w not in self.number})
-                    if len(self.number) + len(new) > self.most:
-                        self.number.clear()
-                        new = list(set(part))
-                    self._learn(new)
-                    at = list(map(self.number.__getitem__, part))
-                total += self.rows[at].sum(axis=0)
+                if len(met) > self.most:
+                    self._meet(set(part))
+                total += self.rows[np.fromiter(map(self.number.__getitem__, part), np.int64, len(part))].sum(axis=0)
             out[i] = total
         return out
 
+    def _meet(self, words: set[str]) -> None:
+        new = words.difference(self.number)
+        if len(self.number) + len(new) > self.most:
+            self.number.clear()
+            new = words
+        if new:
+            self._learn(list(new))
+
 
 def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
