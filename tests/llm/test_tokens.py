@@ -70,6 +70,17 @@ def test_a_full_memory_starts_again():
     assert len(small.known) <= 130
 
 
+def test_new_plain_words_come_from_one_call(monkeypatch):
+    """Words after a space are asked for together, not each by itself, and keep the library's ids."""
+    ours, theirs, asked, real = ByteLevelEncoder(public_path("byte_bpe_50k.json")), library("byte"), [], ByteLevelEncoder.stem
+    monkeypatch.setattr(ByteLevelEncoder, "stem", lambda self, word: asked.append(word) or real(self, word))
+    texts = [f"{prose(i, 60)} a{i}b über{i} don't ... straße, word,next {'z' * 70} {'y' * 70}.\nÉté{i} 漢字 Ġx\n'quoted' <|endoftext|>" for i in range(30)]
+    assert ours.encode_all(texts) == [pack(theirs(t)) for t in texts]
+    assert not [w for w in asked if w.startswith("Ġ")]
+    small = ByteLevelEncoder(public_path("byte_bpe_50k.json"), most=50)
+    assert [small.encode(t) for t in texts] == ours.encode_all(texts)
+
+
 # --- packing ------------------------------------------------------------------------
 
 def best_cost(at, penalty, window):

@@ -8,8 +8,8 @@ among all ids, the bit stream, and a checkpoint (bit offset) before every
 is a place to start: that is how decoding is vectorised, one lane per checkpoint, a
 table look-up per step.
 
-Writing takes two passes over ids that are stored once: global counts give the code,
-then every block is coded by itself. Rows are range-partitioned by ``doc_id``; only
+Writing takes two passes over ids that are stored once, beside their counts by block:
+the sum of these gives the code, then every block is coded by itself. Rows are range-partitioned by ``doc_id``; only
 one count per id, one total per partition and the code pass through the driver, all
 bounded by the vocabulary or the number of partitions.
 
@@ -36,10 +36,12 @@ from .tokens import ByteLevelEncoder, encoder, public_path
 
 BLOCK = 1 << 20
 STRIDE = 1024
+#: Texts encoded in one call; it bounds their characters itself.
+TOGETHER = 512
 #: Longest code in bits; 2**MAX_LENGTH entries make the decoding table.
 MAX_LENGTH = 18
 
-RAW = "part int, number int, local_start long, doc_ids array<long>, lengths array<long>, n_tokens long, ids binary"
+RAW = "part int, number int, local_start long, doc_ids array<long>, lengths array<long>, n_tokens long, ids binary, counts binary"
 BLOCKS = ("first_token long, doc_ids array<long>, lengths array<long>, n_tokens long, n_bits long, "
           "checkpoints binary, payload binary")
 
@@ -141,19 +143,25 @@ def _raw_blocks(path: str, end_id: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(ByteLevelEncoder, path)
         end = np.asarray([end_id], "<u4").tobytes()
+        # Two bytes an id where the vocabulary allows it.
+        stored = "<u2" if max(end_id, tokens.library.get_vocab_size() - 1) < 1 << 16 else "<u4"
         part, number, start, size = TaskContext.get().partitionId(), 0, 0, 0
         owners: list = []
         blobs: list[bytes] = []
 
         def close() -> pa.RecordBatch:
-            values = [part, number, start, owners, [len(x) // 4 for x in blobs], size, b"".join(blobs)]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            ids = np.frombuffer(b"".join(blobs), "<u4")
+            n = np.bincount(ids)
+            used = np.flatnonzero(n)
+            values = [part, number, start, owners, [len(x) // 4 for x in blobs], size, ids.astype(stored).tobytes(),
+                      np.stack([used, n[used]]).astype("<u4").tobytes()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[x.split()[0] for x in RAW.split(", ")])
 
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["text"]
-            for i in range(0, len(ids), 64):
-                for k, blob in enumerate(tokens.encode_all(texts[i:i + 64].to_pylist()), i):
+            for i in range(0, len(ids), TOGETHER):
+                for k, blob in enumerate(tokens.encode_all(texts[i:i + TOGETHER].to_pylist()), i):
                     owners.append(ids[k])
                     blobs.append(blob + end)
                     size += len(blob) // 4 + 1
@@ -166,14 +174,19 @@ def _raw_blocks(path: str, end_id: int, block: int):
     return run
 
 
+def _ids(row: pa.Scalar, n: int) -> np.ndarray:
+    data = row.as_buffer()
+    return np.frombuffer(data, f"<u{data.size // n}")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for blob in batch["ids"]:
-            n = np.bincount(np.frombuffer(blob.as_buffer(), "<u4"))
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[:len(n)] += n
+        for counts in batch["counts"]:
+            ids, n = np.frombuffer(counts.as_buffer(), "<u4").reshape(2, -1)
+            if ids[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(ids[-1] + 1 - len(total), np.int64)])
+            total[ids] += n
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -186,7 +199,7 @@ def write_tokens(
     spark = docs.sparkSession
     vocabulary = vocabulary or public_path("byte_bpe_50k.json")
     raw = settle(in_order(docs, id_col, text_col).mapInArrow(_raw_blocks(vocabulary, end_id, block), RAW))
-    counted = raw.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = raw.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -200,7 +213,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                stream, bits, marks = encode_block(np.frombuffer(batch["ids"][i].as_buffer(), "<u4"), lengths, codes)
+                stream, bits, marks = encode_block(_ids(batch["ids"][i], batch["n_tokens"][i].as_py()), lengths, codes)
                 first = offsets[batch["part"][i].as_py()] + batch["local_start"][i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([first], pa.int64()), batch["doc_ids"].slice(i, 1), batch["lengths"].slice(i, 1),
@@ -211,7 +224,7 @@ def write_tokens(
     used = [(i, int(n)) for i, n in enumerate(lengths.tolist()) if n]
     spark.createDataFrame(used, "id int, bits int").coalesce(1).write.parquet(f"{path}/code")
     # Coded ids do not shrink further.
-    raw.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    raw.drop("counts").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 # --- reading ------------------------------------------------------------------------

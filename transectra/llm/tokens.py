@@ -16,6 +16,10 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 # Worker processes are many already; the library's own threads would only compete.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -25,12 +29,15 @@ REMEMBERED = 400_000
 LONGEST = 64
 #: Texts whose unknown chunks are asked for together.
 TOGETHER = 32
+#: Characters of texts that are cut together by column functions.
+CUT_TOGETHER = 4_000_000
 
 _USUAL_SPACE = " \n\t\r"
 _ODD_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in _USUAL_SPACE)
 _ODD_ASCII_SPACE = tuple(c for c in _ODD_SPACE if c < "\x80")
 _PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _STOPS = ".,!?;:"
+_PLAIN_AND_STOPS = re.compile(f"({_PLAIN_WORD.pattern})([{_STOPS}]*)")
 _RUNS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 # First characters of keys: what stands before the word. No mark means one space.
 _BARE, _LINE = "\0", "\n"
@@ -144,36 +151,123 @@ class LibraryBpe(ChunkEncoder):
 class ByteLevelEncoder(LibraryBpe):
     """Byte-level BPE whose pre-tokenizer attaches one space to the word after it."""
 
+    # Plain words are remembered among the chunks, not apart: one memory as large as the two of other kinds.
+    def __init__(self, path: str, most: int = REMEMBERED * 3 // 2):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__(path, most)
+        self.line = self.library_ids(["\n"])[0]
+        # The same model over words that are cut and written in visible bytes already.
+        self.ready = Tokenizer(self.library.model)
+        self.ready.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        ids = self.library.get_vocab()
+        self.opens = np.zeros(max(ids.values()) + 1, bool)
+        self.opens[[i for token, i in ids.items() if token.startswith("Ġ")]] = True
+
+    @staticmethod
+    def usual(text: str) -> bool:
+        """Single spaces and newlines stand between words, and only there."""
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text
+                    or text[0] in " \n" or text[-1] in " \n" or "\0" in text or odd_space(text))
+
     def chunks(self, text: str) -> list[str] | None:
         if odd_space(text):
             return None
-        if ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text
-                or text[0] in " \n" or text[-1] in " \n" or "\0" in text):
+        if not self.usual(text):
             # A run of white space and what follows it never share a match with what stands before.
             return [_BARE + x for x in _RUNS.findall(text)]
-        keys = text.replace("\n", " \n").split(" ")
-        keys[0] = _BARE + keys[0]
-        return keys
+        return (_BARE + text.replace("\n", " \n")).split(" ")
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        usual = [i for i, t in enumerate(texts) if t and self.usual(t)]
+        others = sorted(set(range(len(texts))).difference(usual))
+        for i, ids in zip(others, super().encode_all([texts[i] for i in others])):
+            out[i] = ids
+        at = 0
+        while at < len(usual):
+            some, size = [], 0
+            while at < len(usual) and size < CUT_TOGETHER:
+                some.append(usual[at])
+                size += len(texts[usual[at]])
+                at += 1
+            for i, ids in zip(some, self._usual_together([texts[i] for i in some])):
+                out[i] = ids
+        return out
+
+    def _usual_together(self, texts: list[str]) -> list[bytes]:
+        """Texts are cut and their different chunks found by column functions; only these are looked up one by one."""
+        cut = pc.split_pattern(pa.array([_BARE + t.replace("\n", " \n") for t in texts], pa.string()), " ")
+        chunks = cut.flatten().dictionary_encode()
+        keys, known = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
+        found = list(map(known.get, keys))
+        new = [i for i, x in enumerate(found) if x is None]
+        if len(known) + len(new) > self.most:
+            known.clear()
+        for i, x in zip(new, self.fetch([keys[i] for i in new])):
+            found[i] = x
+            if len(keys[i]) <= LONGEST:
+                known[keys[i]] = x
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, which = np.cumsum(size) - size, chunks.indices.to_numpy()
+        n = size[which]
+        ends = np.append(0, np.cumsum(n))
+        packed = ids[np.repeat(first[which] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[cut.offsets.to_numpy()] * 4).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def parts(self, library, text: str, words: list[str]) -> list[bytes]:
+        """Ids of words that stand after one space each in ``text``, all from one call of the library."""
+        ids = np.asarray(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        # Only the first id of a word begins with its space.
+        cuts = np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
+        if len(cuts) != len(words) + 1:
+            raise ValueError(f"{len(cuts) - 1} words came back of {len(words)}")
+        packed, cuts = ids.tobytes(), cuts.tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def fetch(self, keys: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(keys)
-        asked, at = [], []
-        line = self.library_ids(["\n"])[0]
+        known, stem_of, full = self.known, self.stem, _PLAIN_AND_STOPS.fullmatch
+        bare, stopped, odd, at, asked, marked = [], [], [], [], [], []
         for i, k in enumerate(keys):
-            mark = k[0]
-            word = k[1:] if mark in "\0\n" else k
+            if len(k) > LONGEST:
+                odd.append(i)
+            elif k.isascii() and k.isalpha():
+                bare.append(i)
+            elif m := full(k):
+                stopped.append((i, *m.groups()))
+            else:
+                odd.append(i)
+        words = [keys[i] for i in bare]
+        words += {word for _, word, _ in stopped}.difference(known, words)
+        # Words in visible bytes already.
+        ids = self.parts(self.ready, " ".join(["Ġ" + _byte_level(w) for w in words]), words)
+        known.update(zip(words, ids))
+        for i, x in zip(bare, ids):
+            out[i] = x
+        for i, word, stops in stopped:
+            out[i] = known[word] + stem_of(stops) if stops else known[word]
+        for i in odd:
+            k = keys[i]
+            if k[0] not in "\0\n":
+                at.append(i)
+                asked.append(k)
+                continue
+            # After a newline that follows a word, a word is matched as at the start of a text.
+            word = k[1:]
             stem = word.rstrip(_STOPS)
             if _PLAIN_WORD.fullmatch(stem):
-                ids = self.stem(_byte_level(stem) if mark in "\0\n" else "Ġ" + _byte_level(stem))
-                if len(stem) < len(word):
-                    ids += self.stem(word[len(stem):])
-                out[i] = line + ids if mark == "\n" else ids
+                out[i] = stem_of(_byte_level(stem)) + (stem_of(word[len(stem):]) if len(stem) < len(word) else b"")
             else:
-                # After a newline that follows a word, a word is matched as at the start of a text.
-                at.append(i)
-                asked.append(word if mark in "\0\n" else " " + word)
-        for i, ids in zip(at, self.library_ids(asked)):
-            out[i] = line + ids if keys[i][0] == "\n" else ids
+                marked.append(i)
+        for i, x in zip(at, self.parts(self.library, " " + " ".join(asked) if asked else "", asked)):
+            out[i] = x
+        for i, x in zip(marked, self.library_ids([keys[i][1:] for i in marked])):
+            out[i] = x
+        for i in odd:
+            if keys[i][0] == "\n":
+                out[i] = self.line + out[i]
         return out
 
 
