@@ -104,20 +104,24 @@ def decoding_table(lengths: np.ndarray, codes: np.ndarray, longest: int = MAX_LE
 
 def encode_block(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, stride: int = STRIDE) -> tuple[bytes, int, bytes]:
     """(bit stream, number of bits, checkpoints as 64-bit offsets)."""
-    size = lengths[ids]
-    ends = np.cumsum(size)
-    n_bits = int(ends[-1]) if len(ends) else 0
-    at = ends - size
-    words = np.zeros(n_bits // 32 + 3, np.uint64)
-    if n_bits:
+    words = np.zeros(len(ids) * int(lengths.max(initial=0)) // 32 + 3, np.uint64)
+    n_bits, marks = 0, []
+    # In parts whose arrays stay in the processor's cache.
+    for a in range(0, len(ids), 32 * stride):
+        part = ids[a:a + 32 * stride]
+        size = lengths[part]
+        ends = n_bits + np.cumsum(size)
+        at = ends - size
         word, shift = at >> 5, at & 31
-        value = codes[ids] << (64 - size - shift).astype(np.uint64)
+        value = codes[part] << (64 - size - shift).astype(np.uint64)
         # No code is longer than a word, so every word has a code that starts in it; bits never overlap, so sums are ors.
         first = np.flatnonzero(np.diff(word, prepend=-1))
         words[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
         words[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    stream = words.astype(">u4").tobytes()[: -(-n_bits // 8)]
-    return stream, n_bits, at[::stride].astype("<u8").tobytes()
+        marks.append(at[::stride].astype("<u8").tobytes())
+        n_bits = int(ends[-1])
+    stream = words[:n_bits // 32 + 1].astype(">u4").tobytes()[: -(-n_bits // 8)]
+    return stream, n_bits, b"".join(marks)
 
 
 def decode_block(stream: bytes, checkpoints: bytes, n_tokens: int, table: np.ndarray, stride: int = STRIDE, longest: int = MAX_LENGTH) -> np.ndarray:

@@ -151,8 +151,8 @@ class LibraryBpe(ChunkEncoder):
 class ByteLevelEncoder(LibraryBpe):
     """Byte-level BPE whose pre-tokenizer attaches one space to the word after it."""
 
-    # Plain words are remembered among the chunks, not apart: one memory as large as the two of other kinds.
-    def __init__(self, path: str, most: int = REMEMBERED * 3 // 2):
+    # Plain words are remembered among the chunks, not apart in a memory of their own.
+    def __init__(self, path: str, most: int = REMEMBERED * 2):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__(path, most)
@@ -242,7 +242,7 @@ class ByteLevelEncoder(LibraryBpe):
         words = [keys[i] for i in bare]
         words += {word for _, word, _ in stopped}.difference(known, words)
         # Words in visible bytes already.
-        ids = self.parts(self.ready, " ".join(["Ġ" + _byte_level(w) for w in words]), words)
+        ids = self.parts(self.ready, "Ġ" + " Ġ".join([w if w.isascii() else _byte_level(w) for w in words]) if words else "", words)
         known.update(zip(words, ids))
         for i, x in zip(bare, ids):
             out[i] = x
