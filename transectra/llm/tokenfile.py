@@ -26,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import scratch, settle
 from .packing import in_order
-from .tokens import ByteLevelEncoder, encoder, public_path
+from .tokens import CUT_TOGETHER, ByteLevelEncoder, encoder, public_path
 
 BLOCK = 1 << 20
 STRIDE = 1024
-#: Texts encoded in one call; it bounds their characters itself.
+#: Most texts encoded in one call; ``CUT_TOGETHER`` bounds their bytes.
 TOGETHER = 512
 #: Longest code in bits; 2**MAX_LENGTH entries make the decoding table.
 MAX_LENGTH = 18
@@ -164,8 +165,12 @@ def _raw_blocks(path: str, end_id: int, block: int):
 
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["text"]
-            for i in range(0, len(ids), TOGETHER):
-                for k, blob in enumerate(tokens.encode_all(texts[i:i + TOGETHER].to_pylist()), i):
+            ends, stop = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+            while stop < len(ids):
+                # Few long texts or many short ones.
+                i, before = stop, ends[stop - 1] if stop else 0
+                stop = max(i + 1, min(i + TOGETHER, int(np.searchsorted(ends, before + CUT_TOGETHER, "right"))))
+                for k, blob in enumerate(tokens.encode_all(texts[i:stop].to_pylist()), i):
                     owners.append(ids[k])
                     blobs.append(blob + end)
                     size += len(blob) // 4 + 1
